@@ -32,8 +32,9 @@ from lodestrata.llm.training import fold_of, labelled_ids, sampled
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Labelled rows that the lexicon and the curve are learned from, at most; words of the lexicon, at most.
 SAMPLE, LEXICON = 20_000, 5_000
-#: A word enters the lexicon with so many toxic texts, such a log odds ratio and such a z-score, at least.
-LEAST_TEXTS, LEAST_ODDS, LEAST_Z = 4, 2.0, 3.0
+#: A word enters the lexicon with so many toxic texts (and this share of them), such a log odds ratio and such a
+#: z-score, at least.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, LEAST_Z = 4, 0.005, 2.0, 3.0
 #: Words that are harmless in company; learned exceptions are added.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish")
 
@@ -138,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     counts = each.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     smooth = lambda k, of: F.log((F.col(k) + 0.5) / (of - F.col(k) + 0.5))
     odds = counts.withColumn("odds", smooth("t", n[1]) - smooth("c", n[0])).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
-    best = odds.filter((F.col("t") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "word").limit(size).collect()
+    best = odds.filter((F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * n[1])) & (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "word").limit(size).collect()
     weights = {r["word"]: r["odds"] for r in best}
     near = each.select("label", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     harmless = near.filter(f"t = 0 AND c >= {LEAST_TEXTS}").filter(F.split("pair", " ")[0].isin(list(weights)) | F.split("pair", " ")[1].isin(list(weights))) if weights else near.limit(0)

@@ -80,7 +80,7 @@ def co_changes(baskets: DataFrame, basket: str = "commit_id", item: str = "path"
 
 def property_routes(functions: DataFrame) -> DataFrame:
     """functions (id, route_path, route_method) to (id, method, path), one row a method; GET where none is given."""
-    methods = F.filter(F.transform(F.split(F.coalesce("route_method", F.lit("GET")), ","), F.trim), lambda m: m != "")
+    methods = F.filter(F.transform(F.split(F.coalesce("route_method", F.lit("GET")), ","), lambda m: F.trim(m)), lambda m: m != "")
     return functions.filter("route_path IS NOT NULL").select("id", F.explode(methods).alias("method"), F.col("route_path").alias("path"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,25 +57,25 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH l AS (SELECT user_id, event_id AS ord, {_EVENT_LINE} AS line FROM events), k AS (SELECT *, regexp_replace(line, '[0-9]+', 'N', 'g') AS mask FROM l),
 r AS (SELECT *, sum(CASE WHEN mask = prev THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ord) AS run FROM (SELECT *, lag(mask) OVER (PARTITION BY user_id ORDER BY ord) AS prev FROM k)),
-h AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ord) AS at, count(*) OVER (PARTITION BY user_id, run) AS n,
+h AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ord) AS pos, count(*) OVER (PARTITION BY user_id, run) AS n,
       regexp_matches(line, '%|B/s|ETA|--:--:--|[0-9]+:[0-9]+:[0-9]+') OR length(regexp_replace(trim(line), '[^0-9]', '', 'g')) >= 0.3 * length(trim(line)) AS heavy FROM r),
-f AS (SELECT *, min(CASE WHEN heavy THEN at END) OVER (PARTITION BY user_id, run) AS start FROM h),
-g AS (SELECT *, coalesce(n - start + 1 >= 5, false) AND at > start AND at < n AS fold FROM f)
-SELECT user_id, ord, CASE WHEN fold THEN '... (' || (n - start - 1) || ' similar lines)' ELSE line END AS line FROM g WHERE NOT fold OR at = start + 1""")
+f AS (SELECT *, min(CASE WHEN heavy THEN pos END) OVER (PARTITION BY user_id, run) AS start FROM h),
+g AS (SELECT *, coalesce(n - start + 1 >= 5, false) AND pos > start AND pos < n AS fold FROM f)
+SELECT user_id, ord, CASE WHEN fold THEN '... (' || (n - start - 1) || ' similar lines)' ELSE line END AS line FROM g WHERE NOT fold OR pos = start + 1""")
 def similar_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.collapse_similar(_event_lines(spark, sf_dir), ["user_id"])
 
 
-@query(f"""WITH l AS (SELECT user_id, event_id AS ord, {_EVENT_LINE} AS line FROM events), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS at, count(*) OVER (PARTITION BY user_id) AS n FROM l)
-SELECT user_id, ord, CASE WHEN n > 40 AND at = 21 THEN '... (' || (n - 30) || ' lines truncated, ' || n || ' total)' ELSE line END AS line FROM m WHERE n <= 40 OR at <= 21 OR at > n - 10""")
+@query(f"""WITH l AS (SELECT user_id, event_id AS ord, {_EVENT_LINE} AS line FROM events), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM l)
+SELECT user_id, ord, CASE WHEN n > 40 AND pos = 21 THEN '... (' || (n - 30) || ' lines truncated, ' || n || ' total)' ELSE line END AS line FROM m WHERE n <= 40 OR pos <= 21 OR pos > n - 10""")
 def head_tail_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.truncate_middle(_event_lines(spark, sf_dir), ["user_id"], head=20, tail=10, longest=40)
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER w AS at, count(*) OVER (PARTITION BY user_id) AS n,
+@query("""WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER w AS pos, count(*) OVER (PARTITION BY user_id) AS n,
   max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-k AS (SELECT * FROM e WHERE near = 1 OR at <= 10 OR at > n - 10)
-SELECT user_id, event_id, event_type, at - coalesce(lag(at) OVER (PARTITION BY user_id ORDER BY at), 0) - 1 AS skipped FROM k""")
+k AS (SELECT * FROM e WHERE near = 1 OR pos <= 10 OR pos > n - 10)
+SELECT user_id, event_id, event_type, pos - coalesce(lag(pos) OVER (PARTITION BY user_id ORDER BY pos), 0) - 1 AS skipped FROM k""")
 def error_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     return L.neighbourhood(rows, ["user_id"], "event_id", F.col("event_type") == "error")
@@ -109,8 +111,8 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.status_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus")
 
 
-@query("""WITH m AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS v, row_number() OVER w AS at, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber))
-SELECT l_suppkey, ord, CASE WHEN n > 20 AND at = 16 THEN '... (' || (n - 15) || ' more)' ELSE v END AS v FROM m WHERE n <= 20 OR at <= 16""")
+@query("""WITH m AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS v, row_number() OVER w AS pos, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber))
+SELECT l_suppkey, ord, CASE WHEN n > 20 AND pos = 16 THEN '... (' || (n - 15) || ' more)' ELSE v END AS v FROM m WHERE n <= 20 OR pos <= 16""")
 def head_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("v"))
     return L.head_more(rows, ["l_suppkey"], "ord", "v", 15, 20)
@@ -312,17 +314,16 @@ def _s(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def output_query(name: str, hint: str, sql: str, line: Column, head: str = "", tail: str = "") -> None:
+def output_query(name: str, hint: str, sql: str, line: Callable[[], Column], head: str = "", tail: str = "") -> None:
     """A parser over a text for each user, against counts that SQL makes from the events themselves."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _parsed(_rendered(spark, sf_dir, line, head, tail), hint)
+        return _parsed(_rendered(spark, sf_dir, line(), head, tail), hint)
 
     QUERIES[name] = run
     SQL[name] = sql
 
 
-_ID, _TYPE, _USER = F.col("event_id"), F.col("event_type"), F.col("user_id")
 _N = "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c FROM events GROUP BY user_id"
 _PLURAL = "n || CASE WHEN n = 1 THEN ' {0}' ELSE ' {0}s' END"
 _GROUPED = "least(sum(CASE WHEN k <= 3 THEN k ELSE 4 END), 1000000)::BIGINT"
@@ -330,29 +331,29 @@ _GROUPED = "least(sum(CASE WHEN k <= 3 THEN k ELSE 4 END), 1000000)::BIGINT"
 output_query(
     "parse_output_ruff", "ruff",
     f"SELECT user_id, 'ruff' AS tool, sum(k) || CASE WHEN sum(k) = 1 THEN ' issue' ELSE ' issues' END || ' across ' || count(*) || CASE WHEN count(*) = 1 THEN ' rule' ELSE ' rules' END AS summary, {_GROUPED} AS n_rows FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY user_id",
-    F.concat(F.lit("src/f"), _s(_ID % 3), F.lit(".py:"), _s(_ID), F.lit(":1: E"), _s(F.ascii(_TYPE) * 1000 + F.length(_TYPE)), F.lit(" "), _TYPE),
+    lambda: F.concat(F.lit("src/f"), _s(F.col("event_id") % 3), F.lit(".py:"), _s(F.col("event_id")), F.lit(":1: E"), _s(F.ascii(F.col("event_type")) * 1000 + F.length(F.col("event_type"))), F.lit(" "), F.col("event_type")),
 )
 output_query(
     "parse_output_mypy", "mypy",
     f"SELECT user_id, 'mypy' AS tool, sum(k) || CASE WHEN sum(k) = 1 THEN ' issue' ELSE ' issues' END || ' across ' || count(*) || CASE WHEN count(*) = 1 THEN ' rule' ELSE ' rules' END AS summary, {_GROUPED} AS n_rows FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY user_id",
-    F.concat(F.lit("m.py:"), _s(_ID), F.lit(": error: wrong  ["), _TYPE, F.lit("]")),
+    lambda: F.concat(F.lit("m.py:"), _s(F.col("event_id")), F.lit(": error: wrong  ["), F.col("event_type"), F.lit("]")),
 )
 output_query(
     "parse_output_tsc", "tsc",
     f"SELECT user_id, 'tsc' AS tool, sum(k) || CASE WHEN sum(k) = 1 THEN ' issue' ELSE ' issues' END || ' across ' || count(*) || CASE WHEN count(*) = 1 THEN ' rule' ELSE ' rules' END AS summary, {_GROUPED} AS n_rows FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY user_id",
-    F.concat(F.lit("a.ts("), _s(_ID), F.lit(",1): error TS"), _s(F.ascii(_TYPE) * 1000 + F.length(_TYPE)), F.lit(": "), _TYPE),
+    lambda: F.concat(F.lit("a.ts("), _s(F.col("event_id")), F.lit(",1): error TS"), _s(F.ascii(F.col("event_type")) * 1000 + F.length(F.col("event_type"))), F.lit(": "), F.col("event_type")),
 )
-output_query("parse_output_env", "env", f"SELECT user_id, 'env-redact' AS tool, n || ' vars (' || e || ' redacted)' AS summary, n AS n_rows FROM ({_N})", F.concat(F.lit("V"), _s(_ID), F.when(_TYPE == "error", "_KEY").otherwise(""), F.lit("="), _TYPE))
-output_query("parse_output_freeze", "pip-freeze", f"SELECT user_id, 'package-list' AS tool, n || ' packages' AS summary, CASE WHEN n > 20 THEN 16 ELSE n END AS n_rows FROM ({_N})", F.concat(_TYPE, _s(_ID), F.lit("=="), _s(_ID % 7), F.lit(".0")))
-output_query("parse_output_pip_list", "pip-list", f"SELECT user_id, 'package-list' AS tool, n || ' packages' AS summary, CASE WHEN n > 20 THEN 16 ELSE n END AS n_rows FROM ({_N})", F.concat(F.lit("p"), _s(_ID), F.lit("   1.0")), "Package    Version\n---------- -------\n")
-output_query("parse_output_log", "git-log", f"SELECT user_id, 'git-log' AS tool, CASE WHEN n = 1 THEN '1 entry' WHEN n <= 10 THEN n || ' entries' ELSE '10 entries (showing 10 of ' || n || ')' END AS summary, least(n, 10) AS n_rows FROM ({_N})", F.concat(F.lpad(F.lower(F.hex(_ID)), 8, "0"), F.lit(" "), _TYPE))
-output_query("parse_output_stash", "git-stash", f"SELECT user_id, 'git-stash' AS tool, n || CASE WHEN n = 1 THEN ' stash' ELSE ' stashes' END AS summary, CASE WHEN n > 10 THEN 8 ELSE n END AS n_rows FROM ({_N})", F.concat(F.lit("stash@{"), _s(_ID), F.lit("}: On main: "), _TYPE))
-output_query("parse_output_pods", "kubectl", f"SELECT user_id, 'kubectl' AS tool, n || ' pods (' || (n - e - v) || ' healthy' || CASE WHEN v > 0 THEN ', ' || v || ' completed' ELSE '' END || CASE WHEN e > 0 THEN ', ' || e || ' unhealthy' ELSE '' END || ')' AS summary, e AS n_rows FROM ({_N})", F.concat(F.rpad(F.concat(F.lit("p"), _s(_ID)), 20, " "), F.lit("1/1    "), F.rpad(F.when(_TYPE == "error", "Error").when(_TYPE == "view", "Completed").otherwise("Running"), 12, " "), F.lit("5d")), "NAME                READY  STATUS      AGE\n")
-output_query("parse_output_docker_ps", "docker-ps", f"SELECT user_id, 'docker-ps' AS tool, n || ' containers (' || (n - e) || ' running' || CASE WHEN e > 0 THEN ', ' || e || ' stopped' ELSE '' END || ')' AS summary, n - e AS n_rows FROM ({_N})", F.concat(F.rpad(_s(_ID), 15, " "), F.lit("img     "), F.when(_TYPE == "error", "Exited (1)   ").otherwise("Up 2 hours   "), F.lit("name")), "CONTAINER ID   IMAGE   STATUS       NAMES\n")
-output_query("parse_output_grep", "grep", "SELECT user_id, 'search-results' AS tool, sum(k) || ' matches across ' || count(*) || ' files' AS summary, sum(CASE WHEN k > 3 THEN 4 ELSE k END)::BIGINT AS n_rows FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY user_id", F.concat(_TYPE, F.lit(".py:"), _s(_ID), F.lit(":x")))
-output_query("parse_output_blame", "git-blame", "WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT user_id, 'git-blame' AS tool, count(*) || ' lines, ' || count(DISTINCT event_type) || CASE WHEN count(DISTINCT event_type) = 1 THEN ' author, ' ELSE ' authors, ' END || sum((event_type IS DISTINCT FROM prev)::INT) || CASE WHEN sum((event_type IS DISTINCT FROM prev)::INT) = 1 THEN ' range' ELSE ' ranges' END AS summary, sum((event_type IS DISTINCT FROM prev)::INT)::BIGINT AS n_rows FROM e GROUP BY user_id", F.concat(F.lpad(F.lower(F.hex(F.crc32(_TYPE.cast("binary")))), 8, "0"), F.lit(" ("), _TYPE, F.lit("  2025-03-01 10:00:00 +0000  "), _s(_ID), F.lit(") x")))
-output_query("parse_output_docker_logs", "docker-logs", f"SELECT user_id, 'docker-logs' AS tool, n || ' log lines, ' || e || CASE WHEN e = 1 THEN ' error' ELSE ' errors' END AS summary, rows AS n_rows FROM ({_N}) JOIN (WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS at, count(*) OVER (PARTITION BY user_id) AS n, max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM events), k AS (SELECT *, at - lag(at) OVER (PARTITION BY user_id ORDER BY at) AS gap FROM x WHERE near = 1 OR at <= 10 OR at > n - 10 OR n <= 20) SELECT user_id, count(*) + count(*) FILTER (gap > 1) AS rows FROM k GROUP BY user_id) USING (user_id)", F.concat(F.lit("2025-01-01T00:00:00Z "), F.when(_TYPE == "error", "ERROR failed").otherwise(F.concat(F.lit("INFO "), _TYPE))))
-output_query("parse_output_status", "git-status", "SELECT user_id, 'git-status' AS tool, 'Files: ' || count(*) || ' (' || array_to_string(list_filter([CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'M:' || count(*) FILTER (event_type <> 'error') END, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN '?:' || count(*) FILTER (event_type = 'error') END], lambda x: x IS NOT NULL), ', ') || ')' AS summary, CASE WHEN count(*) > 8 THEN 1 ELSE count(*) END AS n_rows FROM events GROUP BY user_id", F.concat(F.when(_TYPE == "error", "?? ").otherwise(" M "), F.lit("src/f"), _s(_ID), F.lit(".py")))
+output_query("parse_output_env", "env", f"SELECT user_id, 'env-redact' AS tool, n || ' vars (' || e || ' redacted)' AS summary, n AS n_rows FROM ({_N})", lambda: F.concat(F.lit("V"), _s(F.col("event_id")), F.when(F.col("event_type") == "error", "_KEY").otherwise(""), F.lit("="), F.col("event_type")))
+output_query("parse_output_freeze", "pip-freeze", f"SELECT user_id, 'package-list' AS tool, n || ' packages' AS summary, CASE WHEN n > 20 THEN 16 ELSE n END AS n_rows FROM ({_N})", lambda: F.concat(F.col("event_type"), _s(F.col("event_id")), F.lit("=="), _s(F.col("event_id") % 7), F.lit(".0")))
+output_query("parse_output_pip_list", "pip-list", f"SELECT user_id, 'package-list' AS tool, n || ' packages' AS summary, CASE WHEN n > 20 THEN 16 ELSE n END AS n_rows FROM ({_N})", lambda: F.concat(F.lit("p"), _s(F.col("event_id")), F.lit("   1.0")), "Package    Version\n---------- -------\n")
+output_query("parse_output_log", "git-log", f"SELECT user_id, 'git-log' AS tool, CASE WHEN n = 1 THEN '1 entry' WHEN n <= 10 THEN n || ' entries' ELSE '10 entries (showing 10 of ' || n || ')' END AS summary, least(n, 10) AS n_rows FROM ({_N})", lambda: F.concat(F.lpad(F.lower(F.hex(F.col("event_id"))), 8, "0"), F.lit(" "), F.col("event_type")))
+output_query("parse_output_stash", "git-stash", f"SELECT user_id, 'git-stash' AS tool, n || CASE WHEN n = 1 THEN ' stash' ELSE ' stashes' END AS summary, CASE WHEN n > 10 THEN 8 ELSE n END AS n_rows FROM ({_N})", lambda: F.concat(F.lit("stash@{"), _s(F.col("event_id")), F.lit("}: On main: "), F.col("event_type")))
+output_query("parse_output_pods", "kubectl", f"SELECT user_id, 'kubectl' AS tool, n || ' pods (' || (n - e - v) || ' healthy' || CASE WHEN v > 0 THEN ', ' || v || ' completed' ELSE '' END || CASE WHEN e > 0 THEN ', ' || e || ' unhealthy' ELSE '' END || ')' AS summary, e AS n_rows FROM ({_N})", lambda: F.concat(F.rpad(F.concat(F.lit("p"), _s(F.col("event_id"))), 20, " "), F.lit("1/1    "), F.rpad(F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "view", "Completed").otherwise("Running"), 12, " "), F.lit("5d")), "NAME                READY  STATUS      AGE\n")
+output_query("parse_output_docker_ps", "docker-ps", f"SELECT user_id, 'docker-ps' AS tool, n || ' containers (' || (n - e) || ' running' || CASE WHEN e > 0 THEN ', ' || e || ' stopped' ELSE '' END || ')' AS summary, n - e AS n_rows FROM ({_N})", lambda: F.concat(F.rpad(_s(F.col("event_id")), 15, " "), F.lit("img     "), F.when(F.col("event_type") == "error", "Exited (1)   ").otherwise("Up 2 hours   "), F.lit("name")), "CONTAINER ID   IMAGE   STATUS       NAMES\n")
+output_query("parse_output_grep", "grep", "SELECT user_id, 'search-results' AS tool, sum(k) || ' matches across ' || count(*) || ' files' AS summary, sum(CASE WHEN k > 3 THEN 4 ELSE k END)::BIGINT AS n_rows FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY user_id", lambda: F.concat(F.col("event_type"), F.lit(".py:"), _s(F.col("event_id")), F.lit(":x")))
+output_query("parse_output_blame", "git-blame", "WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT user_id, 'git-blame' AS tool, count(*) || ' lines, ' || count(DISTINCT event_type) || CASE WHEN count(DISTINCT event_type) = 1 THEN ' author, ' ELSE ' authors, ' END || sum((event_type IS DISTINCT FROM prev)::INT) || CASE WHEN sum((event_type IS DISTINCT FROM prev)::INT) = 1 THEN ' range' ELSE ' ranges' END AS summary, sum((event_type IS DISTINCT FROM prev)::INT)::BIGINT AS n_rows FROM e GROUP BY user_id", lambda: F.concat(F.lpad(F.lower(F.hex(F.crc32(F.col("event_type").cast("binary")))), 8, "0"), F.lit(" ("), F.col("event_type"), F.lit("  2025-03-01 10:00:00 +0000  "), _s(F.col("event_id")), F.lit(") x")))
+output_query("parse_output_docker_logs", "docker-logs", f"SELECT user_id, 'docker-logs' AS tool, n || ' log lines, ' || e || CASE WHEN e = 1 THEN ' error' ELSE ' errors' END AS summary, rows AS n_rows FROM ({_N}) JOIN (WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n, max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM events), k AS (SELECT *, pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS gap FROM x WHERE near = 1 OR pos <= 10 OR pos > n - 10 OR n <= 20) SELECT user_id, count(*) + count(*) FILTER (gap > 1) AS rows FROM k GROUP BY user_id) USING (user_id)", lambda: F.concat(F.lit("2025-01-01T00:00:00Z "), F.when(F.col("event_type") == "error", "ERROR failed").otherwise(F.concat(F.lit("INFO "), F.col("event_type")))))
+output_query("parse_output_status", "git-status", "SELECT user_id, 'git-status' AS tool, 'Files: ' || count(*) || ' (' || array_to_string(list_filter([CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'M:' || count(*) FILTER (event_type <> 'error') END, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN '?:' || count(*) FILTER (event_type = 'error') END], lambda x: x IS NOT NULL), ', ') || ')' AS summary, CASE WHEN count(*) > 8 THEN 1 ELSE count(*) END AS n_rows FROM events GROUP BY user_id", lambda: F.concat(F.when(F.col("event_type") == "error", "?? ").otherwise(" M "), F.lit("src/f"), _s(F.col("event_id")), F.lit(".py")))
 
 
 @query("""SELECT 'pytest' AS expected, 'pytest' AS tool UNION ALL SELECT 'ruff', 'ruff' UNION ALL SELECT 'git-log', 'git-log' UNION ALL SELECT 'jest', 'jest' UNION ALL SELECT 'cargo-test', 'cargo-test'

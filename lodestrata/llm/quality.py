@@ -106,12 +106,12 @@ def _minimise(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
 
 
 def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The least ratio of U's to P's mass above any score, over scores that a tenth of P exceeds, with a margin.
+    """The least ratio of U's to P's mass above any score, over scores that half of P exceeds.
 
     U holds prior * P plus others, so no region can hold less than prior times P's share of it.
     """
-    cuts = np.quantile(p, np.linspace(0, 0.9, 46))
-    ratios = [((u >= c).mean() + 1 / np.sqrt(len(u)) * 0.5) / (p >= c).mean() for c in cuts]
+    cuts = np.quantile(p, np.linspace(0, 0.5, 26))
+    ratios = [(u >= c).mean() / (p >= c).mean() for c in cuts]
     return float(np.clip(min(ratios), 0.05, 0.99))
 
 

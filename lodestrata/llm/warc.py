@@ -287,3 +287,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     archives = normalise_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder)
     return read_archives(archives, payloads=False).drop("url", "payload")
+
+
+#: Base 32 by way of the digest's bits.
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, strlen(html)::BIGINT AS n, min(page_id) OVER (PARTITION BY html) AS first, array_to_string(list_transform(range(1, 41), lambda i:
+  ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', h[i])]), '') AS bits FROM p)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+  bits[5 * k + 1]::INT * 16 + bits[5 * k + 2]::INT * 8 + bits[5 * k + 3]::INT * 4 + bits[5 * k + 4]::INT * 2 + bits[5 * k + 5]::INT + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""

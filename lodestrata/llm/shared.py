@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: A key counts as hot when it has over one in HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Narrow rows that one file of an intermediate table holds, about.
+ROWS_A_FILE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestrata/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df cut from its lineage: written as Parquet to the shared folder and read again."""
+def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    """df cut from its lineage: written as Parquet to the shared folder and read again.
+
+    rows: about how many narrow rows there are, for as many files as they need, not one for each shuffle partition.
+    """
     path = f"{folder}/{name}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

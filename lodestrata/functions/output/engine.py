@@ -78,7 +78,7 @@ def group_by_rule(result: Result) -> Result:
             rows += found
             continue
         files = list(dict.fromkeys(r[0] for r in found))
-        told = ["", "", "", "", "", ""][:at] + [rule, f"{len(found)} occurrences", files[0] if len(files) == 1 else f"{len(files)} files"]
+        told = [""] * at + [rule, f"{len(found)} occurrences", files[0] if len(files) == 1 else f"{len(files)} files"]
         width = len(result.columns)
         rows += [(told + [""] * width)[:width], *found[:EXAMPLES], [f"... ({len(found) - EXAMPLES} more)"] + [""] * (width - 1)]
     return Result(result.tool, f"{plural(len(result.rows), 'issue')} across {plural(len(by), 'rule')}", result.columns, rows)

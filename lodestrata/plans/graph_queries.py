@@ -131,7 +131,10 @@ def trace_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return way.agg(F.max("depth").cast("long").alias("hops"))
 
 
-@query(f"""{WITH} SELECT list_sort(list(DISTINCT label))::VARCHAR[] AS labels, count(*) AS node_count, (SELECT list_sort(list(DISTINCT edge_type)) FROM edges) AS edge_types, (SELECT count(*) FROM edges) AS edge_count FROM nodes""".replace("list_sort(list(DISTINCT label))::VARCHAR[]", "array_to_string(list_sort(list(DISTINCT label)), ',')").replace("(SELECT list_sort(list(DISTINCT edge_type)) FROM edges)", "(SELECT array_to_string(list_sort(list(DISTINCT edge_type)), ',') FROM edges)"))
+_SORTED = "array_to_string(list_sort(list(DISTINCT {0})), ',')"
+
+
+@query(f"{WITH} SELECT {_SORTED.format('label')} AS labels, count(*) AS node_count, (SELECT {_SORTED.format('edge_type')} FROM edges) AS edge_types, (SELECT count(*) FROM edges) AS edge_count FROM nodes")
 def graph_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Q.graph_schema(G.nodes(spark, sf_dir), G.edges(spark, sf_dir))
     return found.withColumn("labels", F.array_join("labels", ",")).withColumn("edge_types", F.array_join("edge_types", ","))
@@ -145,9 +148,7 @@ def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.lit("web").alias("project"), path.alias("rel_path"))
 
 
-@query(f"""WITH f AS (SELECT DISTINCT {_PAGE_PATH} AS p FROM pages)
-SELECT 'Python'::VARCHAR AS language, 0::BIGINT AS n WHERE false UNION ALL
-SELECT CASE WHEN p LIKE '%.html' THEN 'html' ELSE 'none' END, count(*) FROM f GROUP BY 1""")
+@query(f"WITH f AS (SELECT DISTINCT {_PAGE_PATH} AS p FROM pages) SELECT CASE WHEN p LIKE '%.html' THEN 'html' ELSE 'none' END AS language, count(*) AS n FROM f GROUP BY 1")
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _page_files(spark, sf_dir).select("rel_path").distinct()
     ending = F.regexp_extract("rel_path", r"\.(html)$", 1)

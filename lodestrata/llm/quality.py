@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     folder = shared_dir(docs.sparkSession)
     positives = labelled_ids(labels, "quality", FOLDS, HELD_OUT).filter("label = 1").drop("label")
     trusted = sampled(docs, positives, sample).select(F.lit(True).alias("positive"), "text")
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).distinct()
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     web = sampled(docs, ids, sample).select(F.lit(False).alias("positive"), "text")
     x = written(map_rows(trusted.union(web), _vectors, "positive boolean, x array<double>"), folder, "sample").toArrow()
     rows = np.array(x.column("x").to_pylist(), float).reshape(-1, FEATURES)

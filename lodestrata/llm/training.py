@@ -13,9 +13,9 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def sampled(docs: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     """docs (doc_id, text, ...) joined to at most limit rows of ids (doc_id, label), least hashes first.
 
-    The limit bounds what is broadcast; ids must be distinct.
+    The limit bounds what is broadcast, and each task passes on as many rows at most, so nothing is shuffled.
     """
-    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).dropDuplicates(["doc_id"])
     return docs.join(F.broadcast(few), "doc_id")
 
 

@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array for each word.
 
-A word keeps a list of part boundaries and, beside it, the ranks of adjacent parts. The least rank is found by a
-scan, its boundary is deleted and the ranks of its two neighbours are looked up anew. Words longer than LONG bytes
-use a heap of the same ranks instead, so that one very long word is not quadratic; the result is the same.
+A word keeps its parts, by id, between contiguous boundaries, and beside them the ranks of adjacent parts. The least
+rank is found by a scan, the boundary it stands for is deleted, and the ranks of its two neighbours are looked up
+anew. Words longer than LONG bytes use a heap of the same ranks instead, so that one very long word is not quadratic;
+the result is the same.
 
 Defined results: a null text is empty, with no ids and an empty decoded text; each input row gives one output row,
 repeated or not; null ids pass through. Strings of added tokens in a text become those tokens. Texts are never cut.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -27,8 +29,10 @@ from lodestrata.llm.shared import map_rows
 #: Bytes of a word from which the heap is used.
 LONG = 256
 #: Words kept encoded in a Python worker, in each of two generations.
-CACHED = 150_000
+CACHED = 300_000
 NONE = 1 << 60
+#: Bits of an id within a pair's number.
+SHIFT = 24
 #: How the byte-level pre-tokenizer cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -72,51 +76,53 @@ class Codec:
         for token, i in added.items():
             self.pieces[i] = token.encode("utf-8")
         pairs = (m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"])
-        self.ranks = {(as_bytes(a), as_bytes(b)): n for n, (a, b) in enumerate(pairs)}
+        pairs = [(as_bytes(a), as_bytes(b)) for a, b in pairs]
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
+        #: The rank of a pair of ids, by one number; the id that the merge of each rank makes.
+        self.ranks = {self.ids[a] << SHIFT | self.ids[b]: n for n, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
         self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.find = regex.compile(PATTERN).findall
         self.words = Words(self.encode_word)
 
     def encode_word(self, word: bytes) -> list[int]:
-        if (whole := self.ids.get(word)) is not None and len(word) == 1:
-            return [whole]
         return self._by_heap(word) if len(word) > LONG else self._by_scan(word)
 
     def _by_scan(self, word: bytes) -> list[int]:
-        rank = self.ranks.get
-        bounds = list(range(len(word) + 1))
-        ranks = [rank((word[i : i + 1], word[i + 1 : i + 2]), NONE) for i in range(len(word) - 1)]
+        rank, made = self.ranks.get, self.made
+        parts = list(map(self.bytes.__getitem__, word))
+        ranks = [rank(a << SHIFT | b, NONE) for a, b in zip(parts, parts[1:])]
         while ranks and (least := min(ranks)) != NONE:
             at = ranks.index(least)
-            del bounds[at + 1], ranks[at]
+            parts[at] = part = made[least]
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank((word[bounds[at - 1] : bounds[at]], word[bounds[at] : bounds[at + 1]]), NONE)
+                ranks[at - 1] = rank(parts[at - 1] << SHIFT | part, NONE)
             if at < len(ranks):
-                ranks[at] = rank((word[bounds[at] : bounds[at + 1]], word[bounds[at + 1] : bounds[at + 2]]), NONE)
-        ids = self.ids
-        return [ids[word[a:b]] for a, b in zip(bounds, bounds[1:])]
+                ranks[at] = rank(part << SHIFT | parts[at + 1], NONE)
+        return parts
 
     def _by_heap(self, word: bytes) -> list[int]:
+        """Parts stay where their first byte is, linked to the next and the one before; old entries are passed over."""
         n, rank = len(word), self.ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank((word[i : i + 1], word[i + 1 : i + 2]))) is not None]
+        parts = list(map(self.bytes.__getitem__, word))
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] << SHIFT | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, start, mid, end = heapq.heappop(heap)
-            if after[start] != mid or mid >= n or after[mid] != end:
+            least, start, left, right = heapq.heappop(heap)
+            mid = after[start]
+            if parts[start] != left or mid >= n or parts[mid] != right:
                 continue
-            after[start], after[mid] = end, -1
+            end = after[mid]
+            parts[start], parts[mid], after[start] = self.made[least], None, end
             if end < n:
                 before[end] = start
             for a, b in ((before[start], start), (start, end)):
-                if 0 <= a and b < n and (r := rank((word[a:b], word[b : after[b]]))) is not None:
-                    heapq.heappush(heap, (r, a, b, after[b]))
-        out, at = [], 0
-        while at < n:
-            out.append(self.ids[word[at : after[at]]])
-            at = after[at]
-        return out
+                if a >= 0 and b < n and (r := rank(parts[a] << SHIFT | parts[b])) is not None:
+                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
+        return [p for p in parts if p is not None]
 
     def encode(self, text: str) -> list[int]:
         if self.split_added is not None and any(token in text for token in self.added):
@@ -128,6 +134,12 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One for each file in a Python worker, which keeps it, and the words it has met, from task to task."""
+    return Codec(path)
+
+
 def _list_of(ids: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
@@ -137,7 +149,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, ids and, decoded from those ids alone, text_again for each row of docs. path: a tokenizer file on all machines."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             ids = [codec.encode(t.as_py() or "") for t in batch.column("text")]
             again = [[pa.array(map(codec.decode, ids), pa.string())], ["text_again"]] if decoded else [[], []]
@@ -151,7 +163,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text_again for each row (doc_id, ids); null ids are empty."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             again = [codec.decode(ids.as_py() or ()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(again, pa.string())], ["doc_id", "text_again"])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import hot_split_join, shared_dir, written
+from lodestrata.llm.shared import ROWS_A_FILE, hot_split_join, shared_dir, written
 
 INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, group_size BIGINT"
 
@@ -37,15 +37,16 @@ class DigestIndex:
 
     def append(self, fresh: DataFrame) -> None:
         """Dealt by the buckets' own hash, so that each bucket gets one sorted file a batch."""
-        fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
+        fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").coalesce(self.buckets).sortWithinPartitions("digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Appends the new texts of docs; returns doc_id, digest, keep_id, group_size, seen_before for each row."""
         folder = shared_dir(self.spark)
         digests = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), folder, "digests")
+        rows = digests.count()
         batch = digests.groupBy("digest").agg(F.max("doc_id").alias("batch_keep"), F.count(F.lit(1)).alias("batch_size"))
-        batch = written(batch.repartition(self.buckets, "digest").sortWithinPartitions("digest"), folder, "batch")
+        batch = written(batch, folder, "batch", rows)
         known = self.rows().select("digest", F.col("keep_id").alias("known_keep"), F.col("group_size").alias("known_size")).hint("merge")
         fresh = batch.join(known.select("digest"), "digest", "left_anti")
         found = batch.join(known, "digest", "left").select(
@@ -55,15 +56,16 @@ class DigestIndex:
             (F.col("batch_size") + F.coalesce("known_size", F.lit(0))).alias("group_size"),
             F.col("known_size").isNotNull().alias("seen_before"),
         )
-        found = written(found, folder, "found")
-        self.append(written(fresh.withColumnsRenamed({"batch_keep": "keep_id", "batch_size": "group_size"}), folder, "fresh"))
+        found = written(found, folder, "found", rows)
+        self.append(written(fresh.withColumnsRenamed({"batch_keep": "keep_id", "batch_size": "group_size"}), folder, "fresh", rows))
         return hot_split_join(digests, found, "digest", "batch_size").drop("batch_size")
 
 
-def new_index(spark: SparkSession) -> DigestIndex:
-    """An empty index in a folder of its own below the shared one."""
+def new_index(spark: SparkSession, rows: int) -> DigestIndex:
+    """An empty index in a folder of its own below the shared one, with buckets for so many texts."""
     location = shared_dir(spark)
-    return DigestIndex(spark, f"digest_index_{location.rpartition('/')[2]}", f"{location}/index")
+    buckets = max(1, -(-rows // ROWS_A_FILE))
+    return DigestIndex(spark, f"digest_index_{location.rpartition('/')[2]}", f"{location}/index", buckets)
 
 
 def drop_repeats(index: DigestIndex, docs: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def drop_repeats(index: DigestIndex, docs: DataFrame) -> DataFrame:
     found = index.add(docs)
     ours = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & ~F.col("seen_before")
     stays = found.filter(ours).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__ties"))
-    stays = written(stays, shared_dir(index.spark), "stays")
+    stays = written(stays, shared_dir(index.spark), "stays", index.rows().count())
     tagged = docs.withColumn("__text_digest", text_digest(F.col("text")))
     matched = tagged.join(stays.hint("shuffle_hash"), (F.col("__text_digest") == F.col("__digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
     single = matched.filter("__ties = 1").select(docs.columns)
@@ -85,7 +87,7 @@ def drop_repeats(index: DigestIndex, docs: DataFrame) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return new_index(spark).add(docs).select(
+    return new_index(spark, docs.count()).add(docs).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 

@@ -30,10 +30,8 @@ CHUNK = 8192
 PAIRS_PER_MEMBER = 32
 #: Bits by which sets are compared before their shingles are.
 BITS = 1024
-#: Neighbours of a set, by the number of keys in which they stand side by side, that are compared with it first.
-NEAREST = 4
-#: Centres of a table key, and those that a set is compared with at a time.
-SHARES, CENTRES = 4, 4
+#: Shares that proposed partners are dealt into, each of which proposes one to a set at a time.
+SHARES = 4
 #: Shingles that are known as frequent where members of such keys are compared by their rarest ones, at most.
 OFTEN = 50_000
 
@@ -118,22 +116,26 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the set that set_key asks for."""
     shingler = Shingler()
     longs = pa.list_(pa.int64())
     for batch in batches:
         sets = [shingler(text.as_py()) for text in batch.column("text")]
-        columns = [batch.column("doc_id"), pa.array([_set_key(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], longs)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([half_keys(x) for x in sets], longs), pa.array([bitmap(x) for x in sets], longs)], ["rep", "set_key", "shingles", "halves", "bits"])
+        wanted = [_set_key(x) == key.as_py() for x, key in zip(sets, batch.column("set_key"), strict=True)]
+        sets = [x for x, w in zip(sets, wanted, strict=True) if w]
+        reps = batch.column("doc_id").filter(pa.array(wanted, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([reps, pa.array([x.view(np.int64) for x in sets], longs), pa.array([half_keys(x) for x in sets], longs), pa.array([bitmap(x) for x in sets], longs)], ["rep", "shingles", "halves", "bits"])
 
 
 def _shared_keys(reps: DataFrame, folder: str, rows: int) -> DataFrame:
     """(key, table, rep, n) for each table key of n members, over one. Only half keys that several sets have are paired."""
     halves = reps.select("rep", F.posexplode("halves").alias("at", "half"))
     often = halves.groupBy("at", "half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    kept = halves.join(often, ["at", "half"]).groupBy("rep").agg(F.collect_list(F.struct("at", "half")).alias("kept"))
-    side = lambda second: F.filter("kept", lambda x: (x["at"] >= HALVES) == F.lit(second))
-    pairs = kept.select("rep", F.explode(side(False)).alias("one"), side(True).alias("others")).select("rep", "one", F.explode("others").alias("other"))
-    members = written(pairs.select(F.xxhash64("one", "other").alias("key"), (F.col("one.at") * 2 * HALVES + F.col("other.at")).alias("table"), "rep"), folder, "tables", 2 * HALVES * rows)
+    kept = halves.join(often, ["at", "half"])
+    one = kept.filter(F.col("at") < HALVES).select("rep", F.col("at").alias("i"), F.col("half").alias("one"))
+    other = kept.filter(F.col("at") >= HALVES).select("rep", F.col("at").alias("j"), F.col("half").alias("other"))
+    members = one.join(other, "rep").select(F.xxhash64("i", "one", "j", "other").alias("key"), (F.col("i") * 2 * HALVES + F.col("j")).alias("table"), "rep")
+    members = written(members, folder, "tables", 2 * HALVES * rows)
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return written(members.join(shared, "key"), folder, "members", members.count())
 
@@ -154,35 +156,34 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _to_centres(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each rep and the CENTRES it meets most often.
+    """Pairs (a, b) of each rep and, of each of SHARES, the centre that it meets most often.
 
-    A key's members are dealt into SHARES, anew each turn; the centre of a share is the member with most neighbours
+    A key's members are dealt into shares, anew each turn; the centre of a share is the member with most neighbours
     over all its keys, which is nearest to the middle of a group of copies.
     """
     degree = members.groupBy("rep").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("degree"))
     share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(SHARES))
     placed = members.select("key", "rep").join(degree, "rep")
-    centres = placed.groupBy("key", share).agg(F.max(F.struct("degree", -F.col("rep"))).alias("c")).select("key", (-F.col("c.col2")).alias("centre"))
-    votes = members.select("key", "rep").join(centres, "key").filter("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("keys"))
-    return _best(votes.withColumnsRenamed({"rep": "a", "centre": "b"}), CENTRES)
+    centres = placed.groupBy("key", share.alias("share")).agg(F.max_by("rep", "degree").alias("centre"))
+    votes = members.select("key", "rep").join(centres, "key").filter("rep <> centre").groupBy("rep", "share", "centre").agg(F.count(F.lit(1)).alias("keys"))
+    return _ordered(votes.groupBy("rep", "share").agg(F.max_by("centre", "keys").alias("b")).select(F.col("rep").alias("a"), "b"))
 
 
-def _best(votes: DataFrame, most: int) -> DataFrame:
-    """Of rows (a, b, keys) each a's b with most keys, at most so many, as distinct pairs (a, b) with a before b."""
-    best = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("keys", "b")), False), 1, most).alias("best"))
-    return best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _to_neighbours(open_keys: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of different components that stand side by side when a key's members are sorted by
-    their half keys, as similar sets do in most keys; the NEAREST such neighbours of each rep that it meets most often.
+    their half keys, as similar sets do in most keys; of each of SHARES the neighbour that a rep meets most often.
 
     Range partitioning splits large keys; what stands on either side of a cut is not paired here.
     """
     order = ["key", *[F.col("halves")[i] for i in range(0, 2 * HALVES, 3)]]
     dealt = open_keys.select("key", "rep", "component", "halves").repartitionByRange(*order).sortWithinPartitions(*order).select("key", "rep", "component")
     pairs = map_rows(dealt, _side_by_side, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
-    return _best(pairs.union(pairs.select("b", "a", "keys")), NEAREST)
+    sides = pairs.union(pairs.select("b", "a", "keys")).withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SHARES)))
+    return _ordered(sides.groupBy("a", "share").agg(F.max_by("b", "keys").alias("b")))
 
 
 def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,7 @@ def _across(members: DataFrame, first: Column | None = None) -> DataFrame:
     (x, y: the members' rows), where two members may share many keys.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    most = sizes.groupBy("key").agg(F.max_by("component", "members").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     mixed = members.join(most, "key")
     x, y = mixed.filter("component <> most").alias("x"), mixed.alias("y")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.rep") < F.col("y.rep")))
@@ -306,10 +307,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _shared_keys(reps.select("rep", "halves"), folder, rows)
 
     wanted = written(members.select("rep").distinct().join(own, "rep"), folder, "wanted", rows)
-    texts = plain.join(wanted.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = map_rows(texts, full_sets, "rep long, set_key binary, shingles array<long>, halves array<long>, bits array<long>").join(wanted, ["rep", "set_key"], "left_semi")
-    few = 10 * wanted.count()  # rows that carry sets weigh more
-    sets = written(sets.dropDuplicates(["rep"]).drop("set_key"), folder, "sets", few)
+    texts = plain.join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
+    n = wanted.count()
+    few = 100 * n  # rows that carry sets weigh more
+    sets = written(map_rows(texts, full_sets, "rep long, shingles array<long>, halves array<long>, bits array<long>"), folder, "sets")
+    if sets.count() != n:  # repeated rows
+        sets = written(sets.dropDuplicates(["rep"]), folder, "sets_once", few)
 
     links = written(_confirmed(_to_centres(members, 0), sets), folder, "links0", few)
     open_keys = _open_keys(members, links, sets, folder, "open0")
@@ -320,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = _rare_first(sets.select("rep", "shingles").join(hot_reps.select("rep"), "rep", "left_semi")).join(hot_reps, "rep")
     pairs = _across(open_keys.filter("NOT hot").drop("hot"), _first_table()).union(_across(rare)).distinct()
     pairs = written(pairs, folder, "pairs", members.count())
-    more = written(_confirmed(pairs, sets), folder, "links2", 10 * pairs.count())
+    more = written(_confirmed(pairs, sets), folder, "links2", 100 * pairs.count())
 
     found = components(links.union(more))
     classes = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))

@@ -10,19 +10,19 @@ from lodestrata.functions.output.reading import ANSI
 # Limits and characters that results depend on.
 SHORT, LONGEST, HEAD, TAIL, SIMILAR = 500, 200, 100, 50, 5
 SPINNERS = frozenset("⠋⠙⠹⠸⠼⠴⠦⠧⠇⠏⣾⣽⣻⢿⡿⣟⣯⣷")
-BARS = frozenset("━█▓░▒■□●○#=->{}/|")
+NO_BARS = re.compile(r"[^━█▓░▒■□●○#=\->{}/|]+")
 RATES = re.compile(r"%|B/s|ETA|--:--:--|\d+:\d+:\d+")
-DIGITS = re.compile(r"\d+")
+DIGITS, NO_DIGITS = re.compile(r"\d+"), re.compile(r"\D+")
 
 
 def is_progress(line: str) -> bool:
     bare = line.strip()
-    return bool(bare) and (not SPINNERS.isdisjoint(bare) or 2 * sum(c in BARS for c in bare) >= len(bare))
+    return bool(bare) and (not SPINNERS.isdisjoint(bare) or 2 * len(NO_BARS.sub("", bare)) >= len(bare))
 
 
 def numeric_heavy(line: str) -> bool:
     bare = line.strip()
-    return bool(bare) and (bool(RATES.search(bare)) or sum(c.isdigit() for c in bare) >= 0.3 * len(bare))
+    return bool(bare) and (bool(RATES.search(bare)) or len(NO_DIGITS.sub("", bare)) >= 0.3 * len(bare))
 
 
 def once_each(lines: list[str]) -> list[str]:

@@ -122,11 +122,19 @@ def simple_name(qn: Column) -> Column:
     return F.element_at(F.split(F.substring_index(qn, ".", -1), "::"), -1)
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix."""
-    n = F.least(F.length(a), F.length(b))
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, 1) != F.substring(b, i, 1))
-    return F.when(n < 1, F.lit(0)).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n)).cast("int")
+#: Qualified names agree in fewer characters than twice this.
+LONGEST_STEP = 1024
+
+
+def with_common_prefix(rows: DataFrame, a: str, b: str, name: str, where: Column) -> DataFrame:
+    """rows with the length of the common prefix of columns a and b, where wanted, else 0: by halving, a step a column,
+    as whole prefixes agree up to that length and disagree beyond it."""
+    rows, step = rows.withColumn(name, F.lit(0)), LONGEST_STEP
+    while step:
+        more = F.col(name) + step
+        agree = where & (more <= F.least(F.length(a), F.length(b))) & (F.left(F.col(a), more) == F.left(F.col(b), more))
+        rows, step = rows.withColumn(name, F.when(agree, more).otherwise(F.col(name))), step // 2
+    return rows
 
 
 def resolve_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame, strict_imports: bool = False) -> DataFrame:
@@ -146,9 +154,11 @@ def resolve_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame, strict_
     import_ord = F.array_min(F.transform(F.filter("modules", hits), lambda m: m["import_ord"]))
     same = F.startswith(F.col("target_qn"), F.concat_ws("::", F.col("project"), F.col("rel_path"), F.lit("")))
     rank = F.when(import_ord.isNotNull(), 1).when(same, 2).when(F.col("n") == 1, 3).otherwise(4)
-    prefix = common_prefix(F.col("target_qn"), F.coalesce("caller_qn", file_qn(F.col("project"), F.col("rel_path"))))
-    tie = F.struct(F.when(rank == 4, -prefix).otherwise(F.coalesce(import_ord, F.lit(0))).cast("long").alias("first"), F.when(rank == 4, -F.col("def_ord")).otherwise(F.col("def_ord")).alias("then"))
-    best = candidates.withColumn("rank", rank).withColumn("tie", tie).groupBy("call_id").agg(F.min_by(F.struct("target_qn", "rank"), F.struct("rank", "tie")).alias("best"))
+    last = F.col("rank") == 4
+    candidates = candidates.withColumn("rank", rank).withColumn("import_first", import_ord).withColumn("caller", F.coalesce("caller_qn", file_qn(F.col("project"), F.col("rel_path"))))
+    candidates = with_common_prefix(candidates, "target_qn", "caller", "prefix", last)
+    tie = F.struct(F.when(last, -F.col("prefix")).otherwise(F.coalesce("import_first", F.lit(0))).cast("long").alias("first"), F.when(last, -F.col("def_ord")).otherwise(F.col("def_ord")).alias("then"))
+    best = candidates.withColumn("tie", tie).groupBy("call_id").agg(F.min_by(F.struct("target_qn", "rank"), F.struct("rank", "tie")).alias("best"))
     confidence = F.element_at(F.array(*[F.lit(c) for c in (S.IMPORT_MAP, S.SAME_MODULE, S.UNIQUE_NAME, S.SUFFIX_MATCH)]), F.col("best.rank"))
     strategy = F.element_at(F.array(*map(F.lit, ("import_map", "same_module", "unique_name", "suffix_match"))), F.col("best.rank"))
     return best.select("call_id", "best.target_qn", confidence.alias("confidence"), strategy.alias("strategy"))

@@ -13,6 +13,7 @@ from lodestrata.functions.output import engine
 from lodestrata.operators import lines as L
 from lodestrata.operators import usage as U
 from lodestrata.plans.star_graph import table
+from lodestrata.sources.workspace import spread
 
 QUERIES, SQL = {}, {}
 
@@ -223,24 +224,25 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.clean_html_column(F.col("html")).alias("markdown"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html.clean_html_column(F.col("html")).alias("markdown"))
 
 
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.clean_html_column(F.col("html"), "text").alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html.clean_html_column(F.col("html"), "text").alias("text"))
 
 
 @query()
 def html_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.clean_html_column(F.col("html"), "minimal").alias("html"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html.clean_html_column(F.col("html"), "minimal").alias("html"))
 
 
 def _as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose lines of even number become headers, of levels 1 to 3 in turn."""
     lines = F.split("text", "\n")
     said = F.transform(lines, lambda line, k: F.when(k % 2 == 0, F.concat(F.repeat(F.lit("#"), (k / 2 % 3 + 1).cast("int")), F.lit(" "), F.substring(line, 1, 40))).otherwise(line))
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(said, "\n").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL"))
+    return docs.select("doc_id", F.array_join(said, "\n").alias("text"))
 
 
 _SECTIONS_SQL = f"""l AS ({_LINES} WHERE text IS NOT NULL), s AS (SELECT doc_id, ord // 2 AS sec, max(CASE WHEN ord % 2 = 0 THEN trim(left(line, 40)) END) AS title, coalesce(max(CASE WHEN ord % 2 = 1 THEN trim(line) END), '') AS content, (ord // 2 % 3 + 1) AS level FROM l GROUP BY doc_id, ord // 2)"""
@@ -295,7 +297,7 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generic_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as outputs of unknown commands."""
-    return table(spark, sf_dir, "documents").select("doc_id", engine.compact_output_column(F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", engine.compact_output_column(F.col("text")).alias("text"))
 
 
 def _rendered(spark: SparkSession, sf_dir: str, line: Column, head: str = "", tail: str = "") -> DataFrame:

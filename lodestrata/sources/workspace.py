@@ -22,3 +22,12 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer partitions than there are, so few and small ones; else as it is.
+
+    For work that costs much more than a shuffle of its rows, such as parsing texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -237,10 +237,11 @@ def html_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html.clean_html_column(F.col("html"), "minimal").alias("html"))
 
 
-def _as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose lines of even number become headers, of levels 1 to 3 in turn."""
+def _as_markdown(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
+    """Documents whose lines of even number become headers, of levels 1 to 3 in turn: whole, or their first longest characters."""
     lines = F.split("text", "\n")
-    said = F.transform(lines, lambda line, k: F.when(k % 2 == 0, F.concat(F.repeat(F.lit("#"), (k / 2 % 3 + 1).cast("int")), F.lit(" "), F.substring(line, 1, 40))).otherwise(line))
+    title = lambda line: line if longest is None else F.substring(line, 1, longest)
+    said = F.transform(lines, lambda line, k: F.when(k % 2 == 0, F.concat(F.repeat(F.lit("#"), (k / 2 % 3 + 1).cast("int")), F.lit(" "), title(line))).otherwise(line))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL"))
     return docs.select("doc_id", F.array_join(said, "\n").alias("text"))
 
@@ -250,8 +251,8 @@ _SECTIONS_SQL = f"""l AS ({_LINES} WHERE text IS NOT NULL), s AS (SELECT doc_id,
 
 @query(f"WITH {_SECTIONS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS sec_id, level::BIGINT AS level, title FROM s WHERE title <> ''")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without blank lines of even number, whose sections SQL can tell."""
-    docs = _as_markdown(spark, sf_dir)
+    """Documents without blank lines of even number, whose sections SQL can tell; titles are 40 characters, as the SQL has them."""
+    docs = _as_markdown(spark, sf_dir, 40)
     found = markdown.sections_of(docs, "text", ("doc_id",))
     return found.select("doc_id", F.col("sec_id").cast("long").alias("sec_id"), F.col("level").cast("long").alias("level"), "title")
 
@@ -263,6 +264,7 @@ r AS (SELECT t.*, budget, row_number() OVER (PARTITION BY doc_id ORDER BY score
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY rank) AS spent FROM r WHERE rank <= 5), v AS (SELECT *, min(CASE WHEN spent > budget AND rank > 2 THEN rank END) OVER (PARTITION BY doc_id) AS cut FROM u)
 SELECT doc_id, sec::BIGINT AS sec, rank FROM v WHERE cut IS NULL OR rank < cut""")
 def md_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks from titles of 40 characters, as the SQL has them: a query word further on in a title line is not seen."""
     lines = L.lines_of(table(spark, sf_dir, "documents").filter("text IS NOT NULL"), keep=("doc_id",))
     side = lambda odd, v: F.max(F.when(F.col("ord") % 2 == odd, F.trim(v)))
     sections = lines.groupBy("doc_id", F.floor(F.col("ord") / 2).alias("sec")).agg(side(0, F.substring("line", 1, 40)).alias("title"), F.coalesce(side(1, F.col("line")), F.lit("")).alias("content"))

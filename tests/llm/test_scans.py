@@ -117,3 +117,21 @@ def test_licence_columns(spark, documents):
     out = sorted(str((r.doc_id, r.licences)) for r in L.scan_licences(documents(rows)).collect())
     assert out == sorted(map(str, [(1, ["Apache-2.0"]), (2, []), (None, ["MIT"]), (1, ["Apache-2.0"]), (3, ["MIT"])]))
     assert L.scan_licences(documents([])).count() == 0
+
+
+WRAPPED = {
+    "MIT": 'Copyright (c) 2020 A B\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.',
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.',
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; ", "-- "])
+@pytest.mark.parametrize("licence", sorted(WRAPPED))
+def test_wrapped_headers(licence, mark):
+    text = "\n".join((mark + line).rstrip() for line in WRAPPED[licence].split("\n"))
+    assert L.licences_of([i for i, _ in L.sentence_ids(f"/*\n{text}\n */\ncode()" if mark == " * " else text)]) == [licence]
+    assert L.licences_of([i for i, _ in L.sentence_ids(f"words without an end\n{text}")]) == [licence]

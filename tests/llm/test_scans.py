@@ -135,3 +135,24 @@ def test_wrapped_headers(licence, mark):
     text = "\n".join((mark + line).rstrip() for line in WRAPPED[licence].split("\n"))
     assert L.licences_of([i for i, _ in L.sentence_ids(f"/*\n{text}\n */\ncode()" if mark == " * " else text)]) == [licence]
     assert L.licences_of([i for i, _ in L.sentence_ids(f"words without an end\n{text}")]) == [licence]
+
+
+@pytest.mark.parametrize(
+    ("line", "licences"),
+    [
+        ("/* SPDX-License-Identifier: GPL-2.0 */", ["GPL-2.0"]), ("<!-- SPDX-License-Identifier: MIT -->", ["MIT"]), ("# SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR (MIT AND BSD-3-Clause)", ["BSD-3-Clause", "GPL-2.0-only", "Linux-syscall-note", "MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0+"]), ("SPDX-License-Identifier: MIT.", ["MIT"]), ("spdx-license-identifier:LicenseRef-own // note", ["LicenseRef-own"]),
+        ("SPDX-License-Identifier: MIT OR", []), ("SPDX-License-Identifier: (MIT", []), ("SPDX-License-Identifier: is a line", []), ("SPDX-License-Identifier: MIT ISC", []), ("SPDX-License-Identifier:", []),
+    ],
+)
+def test_spdx_expressions(line, licences):
+    for text in (line, f"before\n{line}\nafter"):
+        ids = [i for i, _ in L.sentence_ids(text)]
+        assert L.licences_of(ids) == licences
+        assert ids == ["unknown"] or licences
+
+
+def test_spdx_line_keeps_its_other_sentences():
+    ids = [i for i, _ in L.sentence_ids("Released under the MIT License. SPDX-License-Identifier: ISC. Licensed under CC BY 4.0.\nSPDX-License-Identifier: is a tag. Licensed under the BSD license.")]
+    assert ids == ["mit-by", "spdx:ISC", "ccby4-by", "unknown", "bsd-by"]

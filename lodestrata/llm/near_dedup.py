@@ -198,6 +198,12 @@ def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
 
+def _largest(sizes: DataFrame) -> DataFrame:
+    """(key, most, kinds) of sizes (key, component, members): most is the same whatever the order of rows, as both sides
+    of a join may work it out; of components of equal size it is the greatest."""
+    return sizes.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
+
+
 def _across(members: DataFrame, first: Column | None = None) -> DataFrame:
     """Pairs (a, b) of members (key, rep, component, n, bits) of one key and different components that may be links.
 
@@ -205,8 +211,7 @@ def _across(members: DataFrame, first: Column | None = None) -> DataFrame:
     of copies that is linked already makes no pairs. first: whether a key is the one at which to tell of a pair
     (x, y: the members' rows), where two members may share many keys.
     """
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    most = sizes.groupBy("key").agg(F.max_by("component", "members").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    most = _largest(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))).filter("kinds > 1")
     mixed = members.join(most, "key")
     x, y = mixed.filter("component <> most").alias("x"), mixed.alias("y")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.rep") < F.col("y.rep")))

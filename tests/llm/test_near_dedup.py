@@ -96,3 +96,11 @@ def test_components_of_paths_stars_and_loops(spark):
     want = defaultdict(lambda: None, {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {300: 300, 301: 300})
     assert found == dict(want)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_largest_component_does_not_depend_on_order(spark):
+    rows = [(1, 10, 1), (1, 30, 1), (1, 20, 1), (2, 5, 3), (2, 6, 1)]
+    for seed in range(6):
+        dealt = random.Random(seed).sample(rows, len(rows))
+        found = M._largest(spark.createDataFrame(dealt, "key long, component long, members long").coalesce(1)).collect()
+        assert sorted(map(tuple, found)) == [(1, 30, 3), (2, 5, 2)]

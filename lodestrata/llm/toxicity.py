@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton finds in folded text.
 
-Folding lower-cases, undoes compatibility forms and look-alike letters of other scripts, drops invisible
-characters, and reads digits as the letters they stand in for. Matches are whole words. A match inside an
+Folding undoes compatibility forms, accents and look-alike letters of other scripts, lower-cases, drops invisible
+characters, and reads digits as the letters they stand in for. Matches are whole words, which underscores end. A match inside an
 exception phrase does not count. The sum of weights is taken raw and per word, and a logistic curve over both
 gives the score.
 
@@ -42,17 +42,20 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish"
 LOOKALIKES = "аa вb сc еe нh іi јj кk мm оo рp ѕs тt уy хx ԁd ԛq ԝw αa βb εe ηn ιi κk νv οo ρp τt υu χx γy ωw"
 DIGITS = "0o 1i 3e 4a 5s 7t 8b 9g @a $s li"  # l and i fall together, as 1 is read as either
 INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)))
-_FOLD = {ord(x[0]): x[1].replace("l", "i") for x in f"{LOOKALIKES} {DIGITS}".split()} | dict.fromkeys(map(ord, INVISIBLE))
+#: Combining marks of Latin, Greek and Cyrillic; those of other scripts can be letters there, and stay.
+MARKS = [*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE20, 0xFE30)]
+_FOLD = {ord(x[0]): x[1].replace("l", "i") for x in f"{LOOKALIKES} {DIGITS}".split()} | dict.fromkeys([*map(ord, INVISIBLE), *MARKS])
 _ASCII_FOLD = {k: v for k, v in _FOLD.items() if k < 128}
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def folded(text: str | None) -> list[str]:
     """The folded words of a text."""
-    text = (text or "").lower()
+    text = text or ""
     if text.isascii():
-        return _WORD.findall(text.translate(_ASCII_FOLD))
-    return _WORD.findall(unicodedata.normalize("NFKC", text).translate(_FOLD))
+        return _WORD.findall(text.lower().translate(_ASCII_FOLD))
+    bare = unicodedata.normalize("NFKD", text).lower().translate(_FOLD)
+    return _WORD.findall(unicodedata.normalize("NFC", bare))
 
 
 @dataclass

@@ -69,3 +69,10 @@ def test_odd_rows(spark, documents, learned):
     none = T.learn(documents(rows).select("doc_id", "text"), spark.createDataFrame([(4, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int"))
     assert {r.score for r in T.score_texts(documents(rows), none).collect()} == {0.0}
     assert T.score_texts(documents([]), learned).count() == 0
+
+
+def test_folding_of_compatibility_capitals_accents_and_underscores():
+    capitals = ["".join(chr(start + ord(c) - 65) for c in "IDIOT") for start in (0x1D400, 0x1D5D4, 0xFF21, 0x1F130, 0x24B6)]
+    assert [T.folded(x) for x in capitals] == [["idiot"]] * 5
+    assert T.folded("ïdïöt İDIOT ïdiot _idiot_ an_ıdea") == ["idiot"] * 4 + ["an", "ıdea"]
+    assert T.folded("ガギ 한국 ёй") == ["ガギ", "한국", "eи"]

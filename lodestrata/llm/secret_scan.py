@@ -5,8 +5,8 @@ credential word is segmented at least cost into common words, dates, repeats, ru
 walks and brute-force spans; one that would take 10 ** LEAST_LOG10 guesses or more adds a span of kind guess.
 
 Defined results: a null text is an empty one, with no spans; each row gives one row, repeated or not; null ids
-pass through. Offsets are code points, ends exclusive. Texts are never cut; only a value's cost is computed by
-pieces of PIECE characters, whose costs multiply, so that a very long value stays linear.
+pass through. Offsets are code points, ends exclusive. Neither texts nor values are cut: blocks that are said again
+are found by Lyndon words, so that a very long value takes little more than linear time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from lodestrata.llm.shared import map_rows
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_LOG10 = 8.0
-PIECE = 64
+#: Costs of values up to this length are remembered.
+SHORT = 256
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # greedy, so the same spans as + and a check of the length
@@ -91,37 +92,81 @@ def _spans(value: str) -> Iterator[tuple[int, int, float]]:
             if j - i >= 3:
                 yield i, j, cost + log10(_alphabet(value[i]) * (j - i))
             i = max(i + 1, j - 1) if j - i >= 3 else i + 1
-    for size in range(2, n // 2 + 1):  # a block that is said again right away
-        i = 0
-        while i + 2 * size <= n:
-            times = 1
-            while value[i + times * size : i + (times + 1) * size] == value[i : i + size]:
-                times += 1
-            if times > 1:
-                yield i, i + times * size, size * log10(26) + log10(times)
-                i += times * size
-            else:
-                i += 1
-
-
-@lru_cache(maxsize=50_000)
-def _piece_log10(value: str) -> float:
+    for i, j, size in _repetitions(value):
+        times = (j - i) // size
+        yield i, i + times * size, size * log10(26) + log10(times)
+
+
+def _repetitions(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, size) of every longest stretch that says a block of size two or more at least twice.
+
+    Each such stretch holds a Lyndon word of that size, for the order of characters or its reverse, that is the longest
+    one from where it starts; there are at most as many stretches as characters. Common prefixes are told by hashes.
+    """
+    n, mod, base = len(value), (1 << 61) - 1, 0x1F3D5B79A2C4E68
+    sums, powers = [0] * (n + 1), [1] * (n + 1)
+    for i, c in enumerate(value):
+        sums[i + 1], powers[i + 1] = (sums[i] * base + ord(c) + 1) % mod, powers[i] * base % mod
+
+    def same(i: int, j: int, k: int) -> bool:
+        return (sums[i + k] - sums[i] * powers[k] - sums[j + k] + sums[j] * powers[k]) % mod == 0
+
+    def length(fits, most: int) -> int:
+        """The greatest k up to most for which fits(k), which holds for all smaller ones."""
+        if most <= 0 or not fits(1):
+            return 0
+        low = 1
+        while low < most and fits(min(2 * low, most)):
+            low = min(2 * low, most)
+        high = min(2 * low, most + 1)
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if fits(mid) else (low, mid)
+        return low
+
+    def ahead(i: int, j: int) -> int:
+        return length(lambda k: same(i, j, k), n - max(i, j)) if max(i, j) < n and value[i] == value[j] else 0
+
+    def back(i: int, j: int) -> int:
+        return length(lambda k: same(i - k, j - k, k), min(i, j)) if min(i, j) and value[i - 1] == value[j - 1] else 0
+
+    found = set()
+    for sign in (1, -1):
+        ends = [n] * (n + 1)  # of the longest Lyndon word from each place
+        for i in range(n - 1, -1, -1):
+            j = i + 1
+            while j < n:
+                k = ahead(i, j)
+                if j + k < n and sign * (ord(value[i + k]) - ord(value[j + k])) < 0:
+                    j = ends[j]
+                else:
+                    break
+            ends[i] = j
+            if (size := j - i) > 1 and j <= n:
+                start, end = i - back(i, j), j + ahead(i, j)
+                if end - start >= 2 * size:
+                    found.add((start, end, size))
+    return sorted(found)
+
+
+def _least_log10(value: str) -> float:
     """Least cost over all segmentations; each further segment costs a factor of two for being combined."""
     ends: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost in _spans(value):
         ends.setdefault(j, []).append((i, cost))
     best = [0.0] * (len(value) + 1)
-    brute = [True] * (len(value) + 1)
     for j, c in enumerate(value, 1):
-        best[j], brute[j] = best[j - 1] + log10(_alphabet(c)), True
+        best[j] = best[j - 1] + log10(_alphabet(c))
         for i, cost in ends.get(j, ()):
-            if (total := best[i] + cost + (log10(2) if i else 0)) < best[j]:
-                best[j], brute[j] = total, False
+            best[j] = min(best[j], best[i] + cost + (log10(2) if i else 0))
     return best[-1]
 
 
+_remembered = lru_cache(maxsize=50_000)(_least_log10)
+
+
 def guesses_log10(value: str) -> float:
-    return sum(_piece_log10(value[i : i + PIECE]) for i in range(0, len(value), PIECE))
+    return _remembered(value) if len(value) <= SHORT else _least_log10(value)
 
 
 def secrets_in(text: str | None) -> list[tuple[str, int, int, float]]:

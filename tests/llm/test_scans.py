@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -156,3 +157,24 @@ def test_spdx_expressions(line, licences):
 def test_spdx_line_keeps_its_other_sentences():
     ids = [i for i, _ in L.sentence_ids("Released under the MIT License. SPDX-License-Identifier: ISC. Licensed under CC BY 4.0.\nSPDX-License-Identifier: is a tag. Licensed under the BSD license.")]
     assert ids == ["mit-by", "spdx:ISC", "ccby4-by", "unknown", "bsd-by"]
+
+
+def test_values_are_weighed_whole():
+    for times in (64, 65, 128, 129, 200, 5000):
+        assert S.guesses_log10("*" * times) == pytest.approx(math.log10(33 * times))
+        assert S.guesses_log10("xq7" * times) == pytest.approx(3 * math.log10(26) + math.log10(times))
+    assert not [x for x in S.secrets_in("password: " + "*" * 200) if x[0] == "guess"]
+
+
+def test_repetitions_like_brute_force():
+    rnd = random.Random(4)
+    for _ in range(400):
+        value = "".join(rnd.choices("abc"[: rnd.randint(2, 3)], k=rnd.randint(0, 24)))
+        want = set()
+        for size in range(2, len(value) // 2 + 1):
+            same = [value[i] == value[i + size] for i in range(len(value) - size)]
+            for m in re.finditer("1+", "".join("01"[x] for x in same)):
+                block = value[m.start() : m.start() + size]
+                if m.end() - m.start() >= size and (block + block).find(block, 1) == size:
+                    want.add((m.start(), m.end() + size, size))
+        assert set(S._repetitions(value)) == want, value

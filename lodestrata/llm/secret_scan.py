@@ -2,7 +2,8 @@
 
 The patterns are assign, access and hex; their spans stand as they are. Besides, every value that follows a
 credential word is segmented at least cost into common words, dates, repeats, runs of the alphabet, keyboard
-walks and brute-force spans; one that would take 10 ** LEAST_LOG10 guesses or more adds a span of kind guess.
+walks and brute-force spans. Words cost their rank: that of words people choose first, or that among the words of
+all scanned documents by the number of documents, whichever is less. A value that would take 10 ** LEAST_LOG10 guesses or more adds a span of kind guess.
 
 Defined results: a null text is an empty one, with no spans; each row gives one row, repeated or not; null ids
 pass through. Offsets are code points, ends exclusive. Neither texts nor values are cut: blocks that are said again
@@ -12,6 +13,7 @@ are found by Lyndon words, so that a very long value takes little more than line
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log10
@@ -26,6 +28,8 @@ KINDS = ("assign", "access", "hex", "guess")
 LEAST_LOG10 = 8.0
 #: Costs of values up to this length are remembered.
 SHORT = 256
+#: Words ranked, at most, of so many letters; in so many documents, at least.
+WORDS, LONGEST, LEAST_DOCUMENTS = 50_000, 20, 3
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # greedy, so the same spans as + and a check of the length
@@ -47,6 +51,7 @@ COMMON = (
     "access private public server client admin1 love summer winter spring autumn monday friday january december money "
     "computer internet google apple amazon microsoft github docker python java node spark data base database system"
 ).split()
+WORD = re.compile(rf"(?<!\w)[^\W\d_]{{3,{LONGEST}}}(?!\w)")
 RANK = {w: n for n, w in reversed(list(enumerate(COMMON, 1)))}
 LEET = str.maketrans("013457@$!", "oleastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -63,13 +68,13 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
-def _spans(value: str) -> Iterator[tuple[int, int, float]]:
+def _spans(value: str, ranks: dict[str, int] = RANK) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 of guesses) of every pattern in the value."""
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
-            if rank := RANK.get(low[i:j]) or RANK.get(plain[i:j]):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            if rank := ranks.get(low[i:j]) or ranks.get(plain[i:j]):
                 cost = log10(rank + 1)
                 cost += 0.5 * (value[i:j] != low[i:j]) + 0.5 * (low[i:j] != plain[i:j])
                 yield i, j, cost
@@ -149,49 +154,75 @@ def _repetitions(value: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _least_log10(value: str) -> float:
-    """Least cost over all segmentations; each further segment costs a factor of two for being combined."""
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _spans(value):
-        ends.setdefault(j, []).append((i, cost))
-    best = [0.0] * (len(value) + 1)
-    for j, c in enumerate(value, 1):
-        best[j] = best[j - 1] + log10(_alphabet(c))
-        for i, cost in ends.get(j, ()):
-            best[j] = min(best[j], best[i] + cost + (log10(2) if i else 0))
-    return best[-1]
+class Guesses:
+    """log10 of the guesses that find a value, with words by rank."""
 
+    def __init__(self, ranks: dict[str, int] = RANK):
+        self.ranks, self._remembered = ranks, lru_cache(maxsize=50_000)(self._least)
 
-_remembered = lru_cache(maxsize=50_000)(_least_log10)
+    def __call__(self, value: str) -> float:
+        return self._remembered(value) if len(value) <= SHORT else self._least(value)
 
+    def _least(self, value: str) -> float:
+        """Least cost over all segmentations; each further segment costs a factor of two for being combined."""
+        ends: dict[int, list[tuple[int, float]]] = {}
+        for i, j, cost in _spans(value, self.ranks):
+            ends.setdefault(j, []).append((i, cost))
+        best = [0.0] * (len(value) + 1)
+        for j, c in enumerate(value, 1):
+            best[j] = best[j - 1] + log10(_alphabet(c))
+            for i, cost in ends.get(j, ()):
+                best[j] = min(best[j], best[i] + cost + (log10(2) if i else 0))
+        return best[-1]
 
-def guesses_log10(value: str) -> float:
-    return _remembered(value) if len(value) <= SHORT else _least_log10(value)
 
+guesses_log10 = Guesses()
 
-def secrets_in(text: str | None) -> list[tuple[str, int, int, float]]:
+
+def secrets_in(text: str | None, guesses: Guesses = guesses_log10) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 of guesses) by start, then kind as listed; hints and patterns run over the whole text."""
     text = text or ""
     out = [("hex", m.start(), m.end(), 0.0) for m in HEX.finditer(text)]
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), 0.0) for m in ACCESS.finditer(text)]
     if HINTS.search(text):
-        out += [("assign", m.start(), m.end(), guesses_log10(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        out += [("guess", m.start(1), m.end(1), cost) for m in CONTEXT.finditer(text) if (cost := guesses_log10(m[1])) >= LEAST_LOG10]
+        out += [("assign", m.start(), m.end(), guesses(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        out += [("guess", m.start(1), m.end(1), cost) for m in CONTEXT.finditer(text) if (cost := guesses(m[1])) >= LEAST_LOG10]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("guesses_log10", pa.float64())]))
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a batch, with the number of its texts that have them."""
     for batch in batches:
-        found = [[dict(zip(("kind", "start", "end", "guesses_log10"), x, strict=True)) for x in secrets_in(t.as_py())] for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
+        counts: Counter[str] = Counter()
+        for text in batch.column("text"):
+            counts.update(set(WORD.findall((text.as_py() or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+
+def word_ranks(plain: DataFrame) -> dict[str, int]:
+    """The rank of every word that is common or among the WORDS most frequent ones of all texts."""
+    counts = map_rows(plain.select("text"), _word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(WORDS).select("word").toArrow()
+    return RANK | {w: min(k, RANK.get(w, k)) for k, w in enumerate(top.column("word").to_pylist(), 1)}
+
+
+def _scan(ranks: dict[str, int]):
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("guesses_log10", pa.float64())]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesses = Guesses(ranks)
+        for batch in batches:
+            found = [[dict(zip(("kind", "start", "end", "guesses_log10"), x, strict=True)) for x in secrets_in(t.as_py(), guesses)] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
+
+    return rows
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, found (array of kind, start, end, guesses_log10) for each row of docs."""
+    """doc_id, found (array of kind, start, end, guesses_log10) for each row of docs, which is read twice."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(plain, _scan, "doc_id long, found array<struct<kind:string,start:long,end:long,guesses_log10:double>>")
+    return map_rows(plain, _scan(word_ranks(plain)), "doc_id long, found array<struct<kind:string,start:long,end:long,guesses_log10:double>>")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

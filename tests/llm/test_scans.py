@@ -178,3 +178,10 @@ def test_repetitions_like_brute_force():
                 if m.end() - m.start() >= size and (block + block).find(block, 1) == size:
                     want.add((m.start(), m.end() + size, size))
         assert set(S._repetitions(value)) == want, value
+
+
+def test_ordinary_words_are_no_secrets(spark, documents):
+    phrases = ["the password is required", "token: expired", "the secret is something", "the password is Required."]
+    rows = list(enumerate(phrases + ["this is required by something that has expired"] * 3 + ["the password is zqvkwxjy"]))
+    found = {r.doc_id: [x.kind for x in r.found] for r in S.scan_secrets(documents(rows)).collect()}
+    assert [found[k] for k in range(4)] == [[], ["assign"], [], []] and found[len(rows) - 1] == ["guess"]

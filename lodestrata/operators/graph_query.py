@@ -30,7 +30,7 @@ def search_nodes(
     nodes: DataFrame, edges: DataFrame | None = None, query: str | None = None, label: str | None = None, file_path: str | None = None, name_pattern: str | None = None,
     max_degree: int | None = None, exclude_entry_points: bool = False, relationship: str | None = None, limit: int | None = 50,
 ) -> DataFrame:
-    """Nodes that pass all given filters, the first limit by qualified name. A pattern that is no regex filters nothing."""
+    """Nodes that pass all given filters, the first limit by qualified name, then id. A pattern that is no regex filters nothing."""
     found = nodes
     if query is not None:
         found = found.filter(name_matches(query))
@@ -47,7 +47,7 @@ def search_nodes(
     if relationship is not None:
         ends = edges.filter(F.col("edge_type") == relationship).select(F.explode(F.array("source_id", "target_id")).alias("id"))
         found = found.join(ends, "id", "left_semi")
-    return found if limit is None else found.orderBy("qualified_name").limit(limit)
+    return found if limit is None else found.orderBy("qualified_name", "id").limit(limit)
 
 
 def _is_regex(pattern: str) -> bool:
@@ -75,7 +75,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...] = ("Fu
     """Definitions that nothing uses and that are no entry points."""
     used = edges.filter(F.col("edge_type").isin(*uses)).select(F.col("target_id").alias("id"))
     found = nodes.filter(F.col("label").isin(*labels) & ~is_entry_point()).join(used, "id", "left_anti")
-    return found if limit is None else found.orderBy("qualified_name").limit(limit)
+    return found if limit is None else found.orderBy("qualified_name", "id").limit(limit)
 
 
 def route_nodes(nodes: DataFrame, edges: DataFrame, limit: int | None = 200) -> DataFrame:

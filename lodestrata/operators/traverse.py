@@ -75,10 +75,10 @@ LABEL_RANK = ("Function", "Method", "Class")
 
 def resolve_start(nodes: DataFrame, name: str) -> DataFrame:
     """One row (id) for a qualified name, else an exact name, else a case-insensitive part of a name; functions come
-    before methods and classes, then by qualified name. No row if nothing fits."""
+    before methods and classes, then by qualified name and id. No row if nothing fits."""
     way = F.when(F.col("qualified_name") == name, 0).when(F.col("name") == name, 1).when(F.contains(F.lower("name"), F.lower(F.lit(name))), 2)
     rank = F.coalesce(*[F.when(F.col("label") == label, k) for k, label in enumerate(LABEL_RANK)], F.lit(len(LABEL_RANK)))
-    return nodes.withColumn("way", way).filter("way IS NOT NULL").orderBy("way", rank, "qualified_name").limit(1).select("id")
+    return nodes.withColumn("way", way).filter("way IS NOT NULL").orderBy("way", rank, "qualified_name", "id").limit(1).select("id")
 
 
 def trace_fan_with_body(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "outbound", depth: int = 3, files: DataFrame | None = None, edge_types: tuple[str, ...] | None = None) -> DataFrame:

@@ -32,12 +32,12 @@ def _ids(df: DataFrame) -> DataFrame:
     return df.select("id", "label", "name", "qualified_name")
 
 
-@query(f"{WITH} SELECT id, label, name, qualified_name FROM nodes WHERE contains(lower(name), 'an') OR contains(lower(qualified_name), 'an') ORDER BY qualified_name LIMIT 50")
+@query(f"{WITH} SELECT id, label, name, qualified_name FROM nodes WHERE contains(lower(name), 'an') OR contains(lower(qualified_name), 'an') ORDER BY qualified_name, id LIMIT 50")
 def search_nodes_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(Q.search_nodes(G.nodes(spark, sf_dir), query="AN"))
 
 
-@query(f"{WITH} SELECT id, label, name, qualified_name FROM nodes WHERE regexp_matches(name, '00[0-9]*7$') ORDER BY qualified_name LIMIT 200")
+@query(f"{WITH} SELECT id, label, name, qualified_name FROM nodes WHERE regexp_matches(name, '00[0-9]*7$') ORDER BY qualified_name, id LIMIT 200")
 def search_nodes_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(Q.search_nodes(G.nodes(spark, sf_dir), name_pattern="00[0-9]*7$", limit=200))
 
@@ -77,12 +77,12 @@ def dead_nodes_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(Q.dead_code(nodes, used, labels=("Method", "Function"), limit=None))
 
 
-@query(f"{WITH} SELECT n.id, n.name, e.confidence FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.edge_type = 'CALLS' AND e.target_id = (SELECT id FROM nodes WHERE label = 'Method' ORDER BY qualified_name LIMIT 1)")
+@query(f"{WITH} SELECT n.id, n.name, e.confidence FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.edge_type = 'CALLS' AND e.target_id IN (SELECT id FROM nodes WHERE qualified_name = (SELECT min(qualified_name) FROM nodes WHERE label = 'Method'))")
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first part name, which many parts can share."""
     nodes = G.nodes(spark, sf_dir)
-    first = nodes.filter("label = 'Method'").orderBy("qualified_name").select("id").limit(1)
-    calls = G.edges(spark, sf_dir).filter("edge_type = 'CALLS'").join(F.broadcast(first).withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    return nodes.join(calls.select(F.col("source_id").alias("id"), "confidence"), "id").select("id", "name", "confidence")
+    first = nodes.filter("label = 'Method'").agg(F.min("qualified_name")).first()[0]
+    return Q.callers(nodes, G.edges(spark, sf_dir), first).select("id", "name", "confidence")
 
 
 @query(f"{WITH} SELECT n.id, n.name, e.confidence FROM edges e JOIN nodes n ON n.id = e.target_id JOIN nodes s ON s.id = e.source_id WHERE e.edge_type = 'CALLS' AND s.qualified_name = (SELECT min(qualified_name) FROM nodes WHERE label = 'Class')")

@@ -2,46 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Arrow batches hold at most this many rows, so that a batch of long texts fits a worker.
-BATCH_ROWS = 512
-#: A key counts as hot when it has over one in HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 1000
-#: Narrow rows that one file of an intermediate table holds, about.
-ROWS_A_FILE = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lodestrata/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+from lodestrata.sources.workspace import ROWS_A_FILE, shared_dir, written
 
+__all__ = ["ROWS_A_FILE", "hot_split_join", "hot_spread_join", "map_rows", "shared_dir", "written"]
 
-def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
-    """df cut from its lineage: written as Parquet to the shared folder and read again.
-
-    rows: about how many narrow rows there are, for as many files as they need, not one for each shuffle partition.
-    """
-    path = f"{folder}/{name}"
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Arrow batches hold at most this many rows, and about this many bytes (a longer row makes a batch of its own), so
+#: that a batch of long texts fits a worker.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: A key counts as hot when it has over one in HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
 
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of bounded rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with batches of bounded rows and bytes. The bounds are the session's, which knows no others: they are
+    lowered where they are higher, for all that the session plans later."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(rows, schema)
 
 
@@ -56,3 +41,19 @@ def hot_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how
     hot = right.filter(is_hot)
     cold_left = left.join(F.broadcast(hot.select(key)), key, "left_anti")
     return left.join(F.broadcast(hot), key).unionByName(cold_left.join(right.filter(~is_hot), key, how))
+
+
+def hot_spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread: list[str]) -> DataFrame:
+    """left with the columns of right's row of the same key, like hot_split_join, but reads left once.
+
+    key is binary. Rows of hot keys get right's row by broadcast; in the shuffle that serves the others they are dealt
+    by the columns spread, under a key of eight bytes, which no digest is.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    told = F.struct(*[c for c in right.columns if c != key])
+    hot, cold = right.filter(is_hot).select(key, told.alias("__hot")), right.filter(~is_hot).select(F.col(key).alias("__key"), told.alias("__cold"))
+    at = F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.unhex(F.hex(F.xxhash64(*spread))))
+    marked = left.join(F.broadcast(hot), key, "left").withColumn("__at", at)
+    joined = marked.join(cold.hint("shuffle_hash"), F.col("__at") == F.col("__key"), "left")
+    return joined.select(*left.columns, F.coalesce("__hot", "__cold").alias("__told")).select(*left.columns, "__told.*")

@@ -31,10 +31,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import hot_split_join, map_rows, shared_dir, written
+from lodestrata.llm.shared import hot_spread_join, map_rows, shared_dir, written
 
 #: Payload bytes of an archive, and members that one row of work reads back, about.
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 8 << 20
+#: Tasks that one stage has, at most; each takes more archives or ranges beyond that.
+TASKS = 100_000
 PIECE = 1 << 20
 #: Every record carries the same date, so that writing a table again gives the same bytes.
 DATE = "2000-01-01T00:00:00Z"
@@ -125,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     tagged = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("digest"))
     firsts = written(tagged.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), folder, "firsts")
-    dealt = hot_split_join(tagged, firsts.hint("shuffle_hash"), "digest", "copies")
+    dealt = hot_spread_join(tagged, firsts, "digest", "copies", ["page_id", "url"])
     manifest = map_rows(dealt.select("page_id", "url", "html", "first_id"), _writer(f"{qualified(spark, folder)}/raw", least_bytes), "archive string, records long, bytes long")
     return written(manifest, folder, "manifest")
 
@@ -200,7 +202,7 @@ def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
             for source in batch.column("archive"):
                 yield pa.RecordBatch.from_pylist([normalise(source.as_py(), target)])
 
-    dealt = manifest.repartition(max(1, min(100_000, manifest.count())), "archive")
+    dealt = manifest.repartition(max(1, min(TASKS, manifest.count())))
     return written(map_rows(dealt, rows, "archive string, index string, records long, bytes long"), folder, "normalised")
 
 
@@ -277,9 +279,12 @@ def read_archives(normalised: DataFrame, payloads: bool = True) -> DataFrame:
     """A row for each response or revisit record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     A revisit's payload is null; payload_bytes is that of its full payload. Every response's digest is checked.
+    Ranges are dealt to as many tasks as their bytes need: a number that adaptive execution, which sees only their
+    short rows, leaves as it is.
     """
+    size = normalised.agg(F.sum("bytes")).first()[0] or 0
     ranges = map_rows(normalised.select("archive", "index"), _ranges, "archive string, start long, end long")
-    dealt = ranges.repartition(F.col("archive"), F.col("start"))
+    dealt = ranges.repartition(max(1, min(TASKS, -(-size // RANGE_BYTES))))
     return map_rows(dealt, _reader(payloads), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 

@@ -70,3 +70,23 @@ def test_damage_is_noticed():
 def test_empty_table(spark):
     folder = shared_dir(spark)
     assert W.read_archives(W.normalise_archives(W.write_archives(pages(spark, []), folder), folder)).count() == 0
+
+
+def test_ranges_are_read_by_as_many_tasks_as_their_bytes_need(spark, monkeypatch):
+    monkeypatch.setattr(W, "RANGE_BYTES", 4000)
+    import os
+
+    folder = shared_dir(spark)
+    members = W.normalise_archives(W.write_archives(pages(spark, [(i, "u", os.urandom(500).hex()) for i in range(200)]).coalesce(2), folder), folder)
+    read = W.read_archives(members)
+    n = sum(r["bytes"] for r in members.collect()) // 4000
+    assert n > 8 and read.rdd.getNumPartitions() >= n
+    assert read.count() == 200
+
+
+def test_a_payload_of_most_rows(spark):
+    rows = [(i, "u", "same" if i % 3 else f"own {i}") for i in range(3000)]
+    folder = shared_dir(spark)
+    got = W.read_archives(W.normalise_archives(W.write_archives(pages(spark, rows), folder), folder)).collect()
+    assert len(got) == 3000 and {r.refers_to for r in got if r.record_type == "revisit"} == {1}
+    assert sum(r.record_type == "response" for r in got) == 1001

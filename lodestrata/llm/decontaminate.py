@@ -8,7 +8,8 @@ tiles; a document is contaminated if some item's coverage reaches COVERAGE.
 
 The benchmark is the query set: it is read in blocks of at most BLOCK_WORDS words, each sent to all tasks, and every
 document is compared with every block. Defined results: null, empty or blank texts and items match nothing; null
-ids pass through; each row gives one row, repeated or not; items of equal coverage tie to the least item_id.
+ids pass through; each row gives one row, repeated or not; of items of equal coverage the one with the least item_id
+is told, one without an id last, then the one with most words in tiles.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def _coverages(held: Items):
             best, coverage, n_items, tiled = [], [], [], []
             for text in batch.column("text"):
                 found = held.covered(text.as_py())
-                top = min(found, key=lambda x: (-x[1], x[0]), default=(None, 0.0, 0))
+                top = min(found, key=lambda x: (-x[1], x[0] is None, x[0] or 0, -x[2]), default=(None, 0.0, 0))
                 best.append(top[0])
                 coverage.append(top[1])
                 n_items.append(sum(x[1] >= COVERAGE for x in found))
@@ -164,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for k, items in enumerate(benchmark_blocks(benchmark)):
             one = written(map_rows(plain.select(F.col("__row").alias("doc_id"), "text"), _coverages(Items(items)), out), folder, f"block{k}")
             found = one if found is None else found.union(one)
-        best = F.max_by(F.struct("item_id", "coverage", "tiled_words"), F.struct("coverage", -F.col("item_id"))).alias("best")
+        best = F.max_by(F.struct("item_id", "coverage", "tiled_words"), F.struct("coverage", -F.col("item_id"), "tiled_words")).alias("best")
         found = found.groupBy(F.col("doc_id").alias("__row")).agg(best, F.sum("n_items").alias("n_items"))
         found = found.join(plain.select("__row", "doc_id"), "__row").select("doc_id", "best.item_id", "best.coverage", "n_items", "best.tiled_words")
     return found.withColumn("contaminated", F.col("coverage") >= COVERAGE)

@@ -86,3 +86,14 @@ def test_empty_tables(spark, documents):
     assert [(r.coverage, r.contaminated) for r in D.contamination(documents([(1, "a b c")]), none).collect()] == [(0.0, False)]
     assert D.drop_contaminated(documents([(1, "a")]), none).count() == 1
     assert D.contamination(documents([]), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1_000_000, 3])
+def test_ties_of_items(spark, documents, monkeypatch, block):
+    """Equal coverage: the least id, one without an id last; among equal ids the one with most words in tiles."""
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    items = [(None, "a b c d e f"), (9, "a b c d e"), (7, "b c d e f"), (None, "a b c d e f"), (12, "u v w x y"), (12, "u v w x y z"), (None, "k l m n o"), (None, "l m n o p")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents([(1, "a b c d e f"), (2, "u v w x y z"), (3, "k l m n o p"), (3, "k l m n o p"), (None, "a b c d e f")])
+    out = sorted(((str(r.doc_id), r.item_id, r.coverage, r.n_items, r.tiled_words) for r in D.contamination(docs, bench).collect()))
+    assert out == [("1", 7, 1.0, 3, 5), ("2", 12, 1.0, 2, 6), ("3", None, 1.0, 2, 5), ("3", None, 1.0, 2, 5), ("None", 7, 1.0, 3, 5)]

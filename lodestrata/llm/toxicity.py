@@ -88,7 +88,17 @@ def weigh(words: list[str], automaton: ahocorasick.Automaton) -> float:
     hits, spared = [], []
     for end, (size, weight) in automaton.iter(f" {' '.join(words)} "):
         (spared if weight is None else hits).append((end - size, end, weight))
-    return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
+    if not spared:
+        return sum(w for _, _, w in hits)
+    # by starts, with the furthest end of the exceptions that start no later
+    hits.sort(key=lambda x: x[0])
+    spared.sort(key=lambda x: x[0])
+    total, at, furthest = 0.0, 0, -1
+    for start, end, weight in hits:
+        while at < len(spared) and spared[at][0] <= start:
+            furthest, at = max(furthest, spared[at][1]), at + 1
+        total += weight * (furthest < end)
+    return total
 
 
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +145,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     """docs (doc_id, text), labels (doc_id, toxic). What comes to the driver is bounded by sample and size."""
     folder = shared_dir(docs.sparkSession)
     rows = written(sampled(docs, labelled_ids(labels, "toxic", FOLDS, HELD_OUT), sample), folder, "sample")
-    each = written(map_rows(rows.select("doc_id", "label", "text"), _sample_words, "doc_id long, label int, sketch long, words array<string>, pairs array<string>").dropDuplicates(["label", "sketch"]), folder, "words")
+    each = written(map_rows(rows.select("doc_id", "label", "text"), _sample_words, "doc_id long, label int, sketch long, words array<string>, pairs array<string>").withColumn("row", F.monotonically_increasing_id()), folder, "words")
+    # only numbers of rows and sketches are shuffled; the numbers that stay, no more than the sample, go to the words
+    stay = each.groupBy("label", "sketch").agg(F.min("row").alias("row")).select("row")
+    each = each.join(F.broadcast(written(stay, folder, "stay", sample)), "row", "left_semi")
     n = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Lexicon()

@@ -76,3 +76,19 @@ def test_folding_of_compatibility_capitals_accents_and_underscores():
     assert [T.folded(x) for x in capitals] == [["idiot"]] * 5
     assert T.folded("ïdïöt İDIOT ïdiot _idiot_ an_ıdea") == ["idiot"] * 4 + ["an", "ıdea"]
     assert T.folded("ガギ 한국 ёй") == ["ガギ", "한국", "eи"]
+
+
+def test_exceptions_against_brute_force_and_in_long_texts():
+    import time
+
+    rnd = random.Random(8)
+    lexicon = T.Lexicon({"a": 1.0, "b": 2.0, "c": 4.0, "d": 8.0}, ("a b", "b c d", "c", "x a"))
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        words = rnd.choices("abcdxyz", k=rnd.randint(0, 25))
+        spared = {(i, i + len(p.split())) for p in lexicon.exceptions for i in range(len(words)) if words[i : i + len(p.split())] == p.split()}
+        want = sum(lexicon.weights[w] for i, w in enumerate(words) if w in lexicon.weights and not any(x <= i < y for x, y in spared))
+        assert T.weigh(words, automaton) == want
+    start = time.perf_counter()
+    assert T.weigh(["a", "b", "d"] * 200_000, automaton) == 200_000 * 8.0
+    assert time.perf_counter() - start < 20

@@ -185,3 +185,66 @@ def test_ordinary_words_are_no_secrets(spark, documents):
     rows = list(enumerate(phrases + ["this is required by something that has expired"] * 3 + ["the password is zqvkwxjy"]))
     found = {r.doc_id: [x.kind for x in r.found] for r in S.scan_secrets(documents(rows)).collect()}
     assert [found[k] for k in range(4)] == [[], ["assign"], [], []] and found[len(rows) - 1] == ["guess"]
+
+
+GNU = "This {0} is free software{2} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details.\n\nYou should have received a copy of the GNU {1}General Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n{0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL DAMAGES.'
+ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+ADVERTISE = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n\n4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE.'
+#: Notices as they stand in files.
+NOTICES = [
+    ("GPL-3.0-or-later", GNU.format("program", "", ":", ",", "3")), ("GPL-2.0-or-later", GNU.format("program", "", ";", ";", "2")), ("LGPL-2.1-or-later", GNU.format("library", "Lesser ", ";", ";", "2.1")),
+    ("LGPL-2.0-or-later", GNU.format("library", "Library ", ";", ";", "2")), ("LGPL-3.0-or-later", GNU.format("program", "Lesser ", ":", ",", "3")), ("AGPL-3.0-or-later", GNU.format("program", "Affero ", ":", ",", "3")),
+    ("BSD-2-Clause", BSD.format("")), ("BSD-3-Clause", BSD.format(ENDORSE)), ("BSD-4-Clause", BSD.format(ADVERTISE)), ("MIT", "MIT License\n\nCopyright (c) 2024 A. Person\n\n" + GRANT),
+    ("X11", GRANT + "\n\nExcept as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."),
+    ("Apache-2.0", 'Copyright [yyyy] [name of copyright owner]\n\nLicensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", 'Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.'),
+    ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software."),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\n 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at: http://scripts.sil.org/OFL"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007"), ("Artistic-2.0", "Distributed under the terms of the Artistic License 2.0."), ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License)."),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2"), ("BUSL-1.1", "Business Source License 1.1"), ("MS-PL", "This code is released under the Microsoft Public License (MS-PL)."),
+]
+
+
+@pytest.mark.parametrize("width", [None, 72, 79])
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+@pytest.mark.parametrize(("licence", "notice"), NOTICES, ids=[f"{k}-{n}" for k, (n, _) in enumerate(NOTICES)])
+def test_notices(licence, notice, mark, width):
+    import textwrap
+
+    paragraphs = [p if width is None or p != p.strip() or "\n" in p.strip() else textwrap.fill(p, width - len(mark)) for p in notice.split("\n\n")]
+    lines = "\n\n".join(paragraphs).split("\n")
+    text = "/*\n" * (mark == " * ") + "\n".join((mark + line).rstrip() for line in lines) + "\n */\nint main()" * (mark == " * ")
+    assert L.licences_of([i for i, _ in L.sentence_ids(text)]) == [licence]
+
+
+def test_known_sentences_like_whole_matches():
+    """The tree against each spelling by itself, over words that agree with one to some place."""
+    rnd = random.Random(6)
+    few = lambda notation: rnd.sample(ways := sorted(set(L._spelled(notation))), min(4, len(ways)))
+    spelled = [(name, words) for name, notation in L.SENTENCES for words in few(notation)]
+    spelled += [(f"{stem}-by", (*rnd.choice(few(L.SAID)), *rnd.choice(few(L.OF)), *words)) for stem, _, notation in L.NAMES[::4] for words in few(notation)]
+    for name, words in spelled:
+        said = [w for x in words for w in (rnd.choices("abc", k=rnd.randint(0, 3)) if x == "*" else [] if x == "$" else [x])]
+        patterns = {}
+        for other, way in [(name, words), *((n, w) for n, w in spelled if w[0] == words[0])]:
+            body = "".join({"*": "(?:\\S+ )*", "$": ""}.get(x, re.escape(x) + " ") for x in (way[:-1] if way[-1] == "*" else way))
+            if m := re.match(body + ("" if way[-1] == "*" else "$"), " ".join(said) + " "):
+                patterns.setdefault((m.end() if way[-1] != "*" else 0, way[-1] != "*"), set()).add(other)
+        found = L._known(said, {len(said)}, 0, len(said))
+        assert found is not None and found[1] <= len(said), (name, said)
+        whole = {n for (_, closed), names in patterns.items() if closed for n in names}
+        assert name in {n for names in patterns.values() for n in names}
+        if whole:
+            assert not found[2] and found[1] == len(said), (name, found, said)

@@ -16,8 +16,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Rule sets up to this size become an expression; larger ones are joined on the suffixes of hosts.
 MAX_INLINE_RULES = 256
-#: The Bloom filter is broadcast up to this many blocks of 36 bytes (72 MB at most), else joined by block.
-MAX_BROADCAST_BLOCKS = 1 << 20
+#: The Bloom filter is broadcast up to this many blocks, of some 200 bytes each as rows of a hash relation, so 50 MB at
+#: most; else it is joined by block.
+MAX_BROADCAST_BLOCKS = 1 << 18
 #: The odd multipliers that the Parquet format fixes for split-block Bloom filters, one for each word of a block.
 #: They are halved below, so that a product with 32 bits of hash fits a long; each sets one of its word's 32 bits.
 SALTS = [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31]
@@ -135,14 +136,22 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     )
 
 
-#: Host labels of spam shops; every page seen on such a host is on the feed that the query blocks.
-FEED_HOSTS = r"(^|[.])(ads-track|casino-win|spam-farm|adult-x|cheap-pills|free-bets)[.]"
+#: The feed that the query blocks: pages 0 to FEED_PAGES - 1 in each language of each shop, on each of its hosts, with
+#: either ending.
+FEED_SHOPS = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
+FEED_HOSTS, FEED_DOMAINS, FEED_LANGUAGES, FEED_ENDINGS, FEED_PAGES = ("", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es"), ("", ".html"), 1000
+
+
+def feed_urls(spark: SparkSession) -> DataFrame:
+    """url of each page on the feed, whether anybody has seen it or not."""
+    out = spark.range(FEED_PAGES).select("id")
+    for name, values in (("shop", FEED_SHOPS), ("host", FEED_HOSTS), ("domain", FEED_DOMAINS), ("language", FEED_LANGUAGES), ("ending", FEED_ENDINGS)):
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return out.select(F.format_string("http://%s%s.example.%s/%s/%d%s", "host", "shop", "domain", "language", "id", "ending").alias("url"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    feed = pages.select("url").filter(host_of(F.col("url")).rlike(FEED_HOSTS))
-    return judge_urls(pages, feed)
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), feed_urls(spark))
 
 
 _HOST = r"translate(regexp_extract(coalesce({u}, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,7 +163,7 @@ WITH p AS (
              lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_[^=]*|ref|fbclid|gclid)(=.*)?'))), '&') AS q
   FROM pages),
 c AS (SELECT *, CASE WHEN regexp_replace(host, '^www\.', '') = '' THEN '' ELSE regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical FROM p),
-feed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{FEED_HOSTS}') AND canonical <> ''),
+feed AS (SELECT h || shop || '.example.' || d || '/' || l || '/' || i || z AS canonical FROM unnest({list(FEED_SHOPS)}) a(shop), unnest({list(FEED_HOSTS)}) b(h), unnest({list(FEED_DOMAINS)}) c(d), unnest({list(FEED_LANGUAGES)}) e(l), unnest({list(FEED_ENDINGS)}) g(z), range({FEED_PAGES}) f(i)),
 rules(rh, rp, rv) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
 m AS (SELECT *, (SELECT max(struct_pack(n := length(rh) + length(rp), h := length(rh), r := rh || rp, v := rv)) FROM rules
       WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best, canonical IN (SELECT canonical FROM feed) AS listed FROM c)

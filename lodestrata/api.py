@@ -98,11 +98,21 @@ class Workbench:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """The text operators as SQL functions."""
-    from pyspark.sql.types import StringType
+    """The text operators as SQL functions, in Arrow batches. In DataFrames commands.command_hint needs no Python."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    def compact(texts: pd.Series) -> pd.Series:
+        return pd.Series([engine.compact_output(t) for t in texts], dtype=object)
+
+    def clean(pages: pd.Series) -> pd.Series:
+        return pages.map(html.clean_html)
+
+    def match(said: pd.Series) -> pd.Series:
+        return pd.Series([commands.match_command(c) for c in said], dtype=object)
 
     spark.udf.register("compact_json", compact_json._compact_column)
     spark.udf.register("search_markdown", markdown._search_column)
-    spark.udf.register("clean_html", html.clean_html, StringType())
-    spark.udf.register("compact_output", engine.compact_output, StringType())
-    spark.udf.register("match_command", commands.match_command, StringType())
+    spark.udf.register("clean_html", F.pandas_udf(clean, "string"))
+    spark.udf.register("compact_output", F.pandas_udf(compact, "string"))
+    spark.udf.register("match_command", F.pandas_udf(match, "string"))

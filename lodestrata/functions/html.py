@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -45,17 +46,21 @@ class Element:
 
     def elements(self) -> Iterator[Element]:
         """All elements below, in document order."""
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.elements()
+        waiting = [self]
+        while waiting:
+            e = waiting.pop()
+            if e is not self:
+                yield e
+            waiting += [c for c in reversed(e.children) if isinstance(c, Element)]
 
     def texts(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, Element):
-                yield from child.texts()
+        waiting: list[Element | str] = [self]
+        while waiting:
+            e = waiting.pop()
+            if isinstance(e, Element):
+                waiting += reversed(e.children)
             else:
-                yield child
+                yield e
 
     @property
     def text(self) -> str:
@@ -64,18 +69,37 @@ class Element:
     def without(self, unwanted) -> Element:
         """A copy that lacks the elements, with all below them, for which unwanted holds."""
         out = Element(self.tag, dict(self.attributes))
-        out.children = [c.without(unwanted) if isinstance(c, Element) else c for c in self.children if not (isinstance(c, Element) and unwanted(c))]
+        waiting = [(self, out)]
+        while waiting:
+            e, copy = waiting.pop()
+            for child in e.children:
+                if not isinstance(child, Element):
+                    copy.children.append(child)
+                elif not unwanted(child):
+                    copy.children.append(Element(child.tag, dict(child.attributes)))
+                    waiting.append((child, copy.children[-1]))
         return out
 
     def first(self, tag: str) -> Element | None:
         return next((e for e in self.elements() if e.tag == tag), None)
 
     def html(self) -> str:
-        inner = "".join(c.html() if isinstance(c, Element) else (c if self.tag in ("script", "style") else entities.escape(c, quote=False)) for c in self.children)
-        if self.tag == "#root":
-            return inner
-        told = "".join(f" {k}" if v is None else f' {k}="{entities.escape(v)}"' for k, v in self.attributes.items())
-        return f"<{self.tag}{told}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
+        out: list[str] = []
+        waiting: list[Element | str] = [self]  # strings are done
+        while waiting:
+            e = waiting.pop()
+            if not isinstance(e, Element):
+                out.append(e)
+                continue
+            if e.tag != "#root":
+                told = "".join(f" {k}" if v is None else f' {k}="{entities.escape(v)}"' for k, v in e.attributes.items())
+                out.append(f"<{e.tag}{told}>")
+                if e.tag in VOID:
+                    continue
+                waiting.append(f"</{e.tag}>")
+            raw = e.tag in ("script", "style")
+            waiting += [c if raw or isinstance(c, Element) else entities.escape(c, quote=False) for c in reversed(e.children)]
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -83,21 +107,24 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("#root")
         self.open = [self.root]
+        self.counts: Counter[str] = Counter()  # of open elements by name, so that deep pages are not searched in vain
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS and any(e.tag == "p" for e in self.open) and tag != "body":
+        if tag in BLOCKS and tag != "body":
             self._end("p", {"table", "td", "th", "button"})
         if tag in ENDS:
             names, limits = ENDS[tag]
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].tag in limits:
-                    break
-                if self.open[k].tag in names:
-                    del self.open[k:]
+            if any(self.counts[n] for n in names):
+                for k in range(len(self.open) - 1, 0, -1):
+                    if self.open[k].tag in limits:
+                        break
+                    if self.open[k].tag in names:
+                        self._cut(k)
         found = Element(tag, dict(attrs))
         self.open[-1].children.append(found)
         if tag not in VOID:
             self.open.append(found)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -105,12 +132,18 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self._end(tag, set())
 
+    def _cut(self, k: int) -> None:
+        self.counts.subtract(e.tag for e in self.open[k:])
+        del self.open[k:]
+
     def _end(self, tag: str, limits: set[str]) -> None:
+        if not self.counts[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in limits:
                 return
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self._cut(k)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -142,12 +175,26 @@ def _squeezed(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
 
 
-def _blocks(e: Element) -> Iterator[str]:
-    for child in e.children:
-        if isinstance(child, Element):
-            yield from _markdown(child)
-        elif said := child.strip():
-            yield said
+def _blocks(e: Element) -> list[str]:
+    """The lines of what is below e. Elements that only hold others are entered; a quotation is told when it ends."""
+    open_ones: list[tuple[Element, Iterator, list[str]]] = [(e, iter(e.children), [])]
+    while True:
+        parent, children, lines = open_ones[-1]
+        child = next(children, None)
+        if child is None:
+            open_ones.pop()
+            if not open_ones:
+                return lines
+            above = open_ones[-1][2]
+            if parent.tag == "blockquote":
+                said = " ".join(lines).strip()
+                above += [f"> {said}"] if said else []
+        elif not isinstance(child, Element):
+            lines += [said] if (said := child.strip()) else []
+        elif (own := _own_lines(child)) is not None:
+            lines += own
+        else:
+            open_ones.append((child, iter(child.children), [] if child.tag == "blockquote" else lines))
 
 
 def _list(e: Element) -> Iterator[str]:
@@ -168,30 +215,27 @@ def _table(e: Element) -> Iterator[str]:
             yield "| " + " | ".join(["---"] * len(row)) + " |"
 
 
-def _markdown(e: Element) -> Iterator[str]:
-    tag, said = e.tag, None
+def _own_lines(e: Element) -> list[str] | None:
+    """An element's markdown; None for those that are told by what they hold."""
+    tag = e.tag
     if tag in ("script", "style", "head"):
-        return
+        return []
     if tag == "img":
-        yield f"![{e.attributes.get('alt') or ''}]({e.attributes.get('src') or ''})"
-    elif tag == "blockquote":
-        if said := " ".join(_blocks(e)).strip():
-            yield f"> {said}"
-    elif tag in ("ul", "ol"):
-        yield from _list(e)
-    elif tag == "table":
-        yield from _table(e)
-    elif tag in WRAPPED or tag in ("a", "li", "pre", "code"):
-        if said := e.text:
-            if tag == "a":
-                yield f"[{said}]({e.attributes.get('href') or ''})"
-            elif tag in ("pre", "code"):
-                yield f"```\n{said}\n```"
-            else:
-                before, after = WRAPPED.get(tag, ("- ", ""))
-                yield f"{before}{said}{after}"
-    else:
-        yield from _blocks(e)
+        return [f"![{e.attributes.get('alt') or ''}]({e.attributes.get('src') or ''})"]
+    if tag in ("ul", "ol"):
+        return list(_list(e))
+    if tag == "table":
+        return list(_table(e))
+    if tag not in WRAPPED and tag not in ("a", "li", "pre", "code"):
+        return None
+    if not (said := e.text):
+        return []
+    if tag == "a":
+        return [f"[{said}]({e.attributes.get('href') or ''})"]
+    if tag in ("pre", "code"):
+        return [f"```\n{said}\n```"]
+    before, after = WRAPPED.get(tag, ("- ", ""))
+    return [f"{before}{said}{after}"]
 
 
 WRAPPED = {f"h{n}": ("#" * n + " ", "") for n in range(1, 7)} | {"strong": ("**", "**"), "b": ("**", "**"), "em": ("*", "*"), "i": ("*", "*")}

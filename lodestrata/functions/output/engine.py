@@ -48,7 +48,7 @@ for _parser in (
     testing.JEST, testing.VITEST, testing.MOCHA, diagnostics.TSC, diagnostics.ESLINT, diagnostics.WEBPACK, diagnostics.VITE, diagnostics.NPM,
     testing.CARGO_TEST, diagnostics.CARGO_BUILD, diagnostics.CARGO_CLIPPY, diagnostics.DOCKER,
     git.GIT_DIFF, git.GIT_STATUS, git.GIT_LOG, git.GIT_SHOW, git.GIT_BLAME, git.GIT_BRANCH, git.GIT_STASH,
-    services.KUBECTL, services.COMPOSE, services.DOCKER_PS, services.DOCKER_LOGS,
+    services.KUBECTL, services.DOCKER_COMPOSE, services.DOCKER_PS, services.DOCKER_LOGS,
     shell.PACKAGE_LIST, shell.FILE_LISTING, shell.SEARCH_RESULTS, shell.GH_CLI, shell.ENV_REDACT,
 ):
     register_parser(_parser)

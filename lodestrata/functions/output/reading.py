@@ -6,11 +6,13 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property
+from typing import TypeVar
 
 ANSI = re.compile(r"\x1b\[[0-9;]*[a-zA-Z]")
 TEST_COLUMNS = ["test", "status", "file", "line", "error"]
 Rows = list[list[str]]
 Told = tuple[str, list[str], Rows]  # summary, columns, rows
+T = TypeVar("T")
 
 
 class Text:
@@ -32,17 +34,29 @@ class Text:
         """Lines that are not blank."""
         return [line for line in self.lines if line.strip()]
 
-    def has(self, pattern: re.Pattern) -> bool:
-        return pattern.search(self.all) is not None
-
-    def number(self, pattern: re.Pattern, group: int = 1) -> int:
-        """The first match's group as a number; 0 without one."""
-        found = pattern.search(self.all)
-        return int(found[group]) if found else 0
-
-    def matching(self, pattern: re.Pattern, bare: bool = False, first: int | None = None) -> list[re.Match]:
-        """Matches at the start of lines."""
-        return [m for line in (self.bare if bare else self.lines)[:first] if (m := pattern.match(line))]
+    @cached_property
+    def words(self) -> list[str]:
+        return self.all.split()
+
+    def counts(self, *phrase: str | None) -> list[int] | None:
+        """The numbers in the first run of words that fits phrase, in which None stands for a number and a word for
+        any that starts with it; None without one."""
+        if not all(p in self.all for p in phrase if p):
+            return None
+        for at in range(len(self.words) - len(phrase) + 1):
+            said = self.words[at : at + len(phrase)]
+            if all(w.isdecimal() if p is None else w.startswith(p) for p, w in zip(phrase, said, strict=True)):
+                return [int(w) for p, w in zip(phrase, said, strict=True) if p is None]
+        return None
+
+    def says(self, *words: str) -> bool:
+        """Whether one of these stands in the text, in whatever case."""
+        low = self.all.lower()
+        return any(w in low for w in words)
+
+    def each(self, read: Callable[[str], T | None], bare: bool = False, first: int | None = None) -> list[T]:
+        """What read makes of the lines that it understands."""
+        return [found for line in (self.bare if bare else self.lines)[:first] if (found := read(line)) is not None]
 
 
 @dataclass(frozen=True)
@@ -53,16 +67,33 @@ class Parser:
     parse: Callable[[Text, bool], Told]
 
 
+def located(place: str, numbers: int = 2) -> list[str] | None:
+    """['path', '12', '3'] for 'path:12:3': the path and up to so many numbers that end it, missing ones as ''."""
+    found: list[str] = []
+    while len(found) < numbers:
+        before, colon, last = place.rpartition(":")
+        if not (colon and last.isdecimal()):
+            break
+        place, found = before, [last, *found]
+    return [place, *found, *[""] * (numbers - len(found))] if place.strip() and found else None
+
+
+def ended(text: str, opening: str, closing: str) -> tuple[str, str]:
+    """(rest, note) of a text that ends with a note in such brackets, else (text, '')."""
+    rest, found, note = text.rpartition(" " + opening)
+    return (rest.rstrip(), note[:-1]) if found and note.endswith(closing) and len(note) > 1 else (text, "")
+
+
 def plural(n: int, word: str, ending: str = "s") -> str:
     return f"{n} {word}{ending if n != 1 else ''}"
 
 
-def blocks(lines: Iterable[str], start: re.Pattern) -> list[tuple[re.Match, list[str]]]:
-    """Each line that start matches, with the lines up to the next one."""
-    out: list[tuple[re.Match, list[str]]] = []
+def blocks(lines: Iterable[str], start: Callable[[str], T | None]) -> list[tuple[T, list[str]]]:
+    """What start makes of each line that it takes for a heading, with the lines up to the next one."""
+    out: list[tuple[T, list[str]]] = []
     for line in lines:
-        if m := start.match(line):
-            out.append((m, []))
+        if (heading := start(line)) is not None:
+            out.append((heading, []))
         elif out:
             out[-1][1].append(line)
     return out
@@ -93,12 +124,12 @@ def head_and_more(rows: Rows, most: int, shown: int) -> Rows:
     return [*rows[:shown], [f"... ({len(rows) - shown} more)"] + [""] * (len(rows[0]) - 1)]
 
 
-def around(lines: list[str], hit: re.Pattern, head: int, tail: int, context: int) -> list[str]:
+def around(lines: list[str], hit: Callable[[str], bool], head: int, tail: int, context: int) -> list[str]:
     """The head, the tail and what stands near hits, with markers for the lines between."""
     n = len(lines)
     keep = set(range(min(head, n))) | set(range(max(0, n - tail), n))
     for i, line in enumerate(lines):
-        if hit.search(line):
+        if hit(line):
             keep |= set(range(max(0, i - context), min(n, i + context + 1)))
     out, last = [], -1
     for i in sorted(keep):

@@ -12,6 +12,7 @@ from lodestrata.operators import graph_query as Q
 from lodestrata.operators import traverse as V
 from lodestrata.plans import star_graph as G
 from lodestrata.plans.star_graph import table
+from lodestrata.sources.files import language
 
 WITH = f"WITH nodes AS ({G.NODES_SQL}), edges AS ({G.EDGES_SQL})"
 WITH_R = WITH.replace("WITH nodes", "WITH RECURSIVE nodes")
@@ -68,13 +69,16 @@ def relationship_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(Q.route_nodes(G.nodes(spark, sf_dir), G.edges(spark, sf_dir), limit=None))
 
 
-@query(f"{WITH} SELECT id, label, name, qualified_name FROM nodes WHERE label IN ('Method', 'Function') AND id NOT IN (SELECT source_id FROM edges WHERE edge_type IN ('HANDLES')) AND id NOT IN (SELECT target_id FROM edges WHERE edge_type = 'CALLS')")
+_USED = "edge_type = 'CALLS' AND ord % 23 = 0"
+
+
+@query(f"{WITH} SELECT id, label, name, qualified_name FROM nodes WHERE label IN ('Method', 'Function') AND NOT (label = 'Function' AND id % 3 = 0) AND id NOT IN (SELECT target_id FROM edges WHERE {_USED})")
 def dead_nodes_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = G.nodes(spark, sf_dir), G.edges(spark, sf_dir)
-    # an order uses its customer: those edges are turned round
-    turned = edges.filter("edge_type = 'HANDLES'").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "edge_type")
-    used = edges.filter("edge_type = 'CALLS'").select("source_id", "target_id", "edge_type").unionByName(turned)
-    return _ids(Q.dead_code(nodes, used, labels=("Method", "Function"), limit=None))
+    """Over some of the calls, with every third customer named as an entry point."""
+    nodes, edges = G.nodes(spark, sf_dir), G.edges(spark, sf_dir).filter(_USED)
+    entry = (F.col("label") == "Function") & (F.col("id") % 3 == 0)
+    marked = nodes.withColumn("plain", F.col("name")).withColumn("name", F.when(entry, "main").otherwise(F.col("name")))
+    return _ids(Q.dead_code(marked, edges, labels=("Method", "Function"), limit=None).withColumn("name", F.col("plain")))
 
 
 @query(f"{WITH} SELECT n.id, n.name, e.confidence FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.edge_type = 'CALLS' AND e.target_id IN (SELECT id FROM nodes WHERE qualified_name = (SELECT min(qualified_name) FROM nodes WHERE label = 'Method'))")
@@ -148,11 +152,15 @@ def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.lit("web").alias("project"), path.alias("rel_path"))
 
 
-@query(f"WITH f AS (SELECT DISTINCT {_PAGE_PATH} AS p FROM pages) SELECT CASE WHEN p LIKE '%.html' THEN 'html' ELSE 'none' END AS language, count(*) AS n FROM f GROUP BY 1")
+_ENDINGS = (".py", ".js", ".mjs", ".tsx", ".ts", ".txt", "")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT {_PAGE_PATH} AS p FROM pages), e AS (SELECT p || {list(_ENDINGS)}[length(p) % {len(_ENDINGS)} + 1] AS path FROM f)
+SELECT CASE WHEN ends_with(path, '.py') THEN 'Python' WHEN ends_with(path, 'js') THEN 'JavaScript' WHEN ends_with(path, '.tsx') THEN 'Tsx' WHEN ends_with(path, '.ts') THEN 'TypeScript' END AS language, count(*) AS n FROM e GROUP BY 1""")
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _page_files(spark, sf_dir).select("rel_path").distinct()
-    ending = F.regexp_extract("rel_path", r"\.(html)$", 1)
-    return files.groupBy(F.when(ending == "", "none").otherwise(ending).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.length("rel_path") % len(_ENDINGS) + 1).cast("int"))
+    return files.groupBy(language(F.concat("rel_path", ending)).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH f AS (SELECT DISTINCT {_PAGE_PATH} AS p FROM pages), paths AS (SELECT p FROM f),
@@ -294,12 +302,16 @@ def search_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.search_code(docs, "[Ll]icense|password", limit=None).select(F.col("rel_path").alias("doc_id"), F.col("line").cast("long").alias("line"), "text")
 
 
-@query("""SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(2 - 1, 1):least(3 + 1, len(string_split(text, chr(10))))], chr(10)) AS source FROM documents WHERE len(string_split(text, chr(10))) >= 3""")
+@query("""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, greatest(doc_id % 5 + 2 - 1, 1)::BIGINT AS start, least(doc_id % 5 + 3 + 1, len(l))::BIGINT AS "end", array_to_string(l[greatest(doc_id % 5 + 2 - 1, 1):least(doc_id % 5 + 3 + 1, len(l))], chr(10)) AS source FROM d""")
 def source_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 2 to 3 of each document with one line around."""
-    lines = F.split("text", "\n")
-    docs = table(spark, sf_dir, "documents").filter(F.size(lines) >= 3)
-    return docs.select("doc_id", F.array_join(F.slice(lines, F.greatest(F.lit(2) - 1, F.lit(1)), F.least(F.lit(3) + 1, F.size(lines)) - F.greatest(F.lit(2) - 1, F.lit(1)) + 1), "\n").alias("source"))
+    """A definition of two lines in each document, further down in some, with one line around; '' below a document's end."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("rel_path"), F.col("text").alias("content"))
+    start = F.col("doc_id") % 5 + 2
+    nodes = docs.select(F.lit("f").alias("qualified_name"), F.col("doc_id").cast("string").alias("file_path"), start.alias("line_start"), (start + 1).alias("line_end"))
+    found = Q.snippet(nodes, files, "f", context=1)
+    return found.select(F.col("file_path").cast("long").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "source")
 
 
 @query("""SELECT band, count(*) AS n FROM (SELECT CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.45 THEN 'medium' WHEN c >= 0.25 THEN 'speculative' ELSE 'low' END AS band FROM (SELECT greatest(0.0, least(1.0, l_discount * 12 - 0.1)) AS c FROM lineitem)) GROUP BY band""")

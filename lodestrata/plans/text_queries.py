@@ -237,23 +237,20 @@ def html_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html.clean_html_column(F.col("html"), "minimal").alias("html"))
 
 
-def _as_markdown(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
-    """Documents whose lines of even number become headers, of levels 1 to 3 in turn: whole, or their first longest characters."""
+def _as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines of even number become headers, of levels 1 to 3 in turn."""
     lines = F.split("text", "\n")
-    title = lambda line: line if longest is None else F.substring(line, 1, longest)
-    said = F.transform(lines, lambda line, k: F.when(k % 2 == 0, F.concat(F.repeat(F.lit("#"), (k / 2 % 3 + 1).cast("int")), F.lit(" "), title(line))).otherwise(line))
+    said = F.transform(lines, lambda line, k: F.when(k % 2 == 0, F.concat(F.repeat(F.lit("#"), (k / 2 % 3 + 1).cast("int")), F.lit(" "), line)).otherwise(line))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL"))
     return docs.select("doc_id", F.array_join(said, "\n").alias("text"))
 
 
-_SECTIONS_SQL = f"""l AS ({_LINES} WHERE text IS NOT NULL), s AS (SELECT doc_id, ord // 2 AS sec, max(CASE WHEN ord % 2 = 0 THEN trim(left(line, 40)) END) AS title, coalesce(max(CASE WHEN ord % 2 = 1 THEN trim(line) END), '') AS content, (ord // 2 % 3 + 1) AS level FROM l GROUP BY doc_id, ord // 2)"""
+_SECTIONS_SQL = f"""l AS ({_LINES} WHERE text IS NOT NULL), s AS (SELECT doc_id, ord // 2 AS sec, max(CASE WHEN ord % 2 = 0 THEN trim(line) END) AS title, coalesce(max(CASE WHEN ord % 2 = 1 THEN trim(line) END), '') AS content, (ord // 2 % 3 + 1) AS level FROM l GROUP BY doc_id, ord // 2)"""
 
 
 @query(f"WITH {_SECTIONS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS sec_id, level::BIGINT AS level, title FROM s WHERE title <> ''")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without blank lines of even number, whose sections SQL can tell; titles are 40 characters, as the SQL has them."""
-    docs = _as_markdown(spark, sf_dir, 40)
-    found = markdown.sections_of(docs, "text", ("doc_id",))
+    found = markdown.sections_of(_as_markdown(spark, sf_dir), "text", ("doc_id",))
     return found.select("doc_id", F.col("sec_id").cast("long").alias("sec_id"), F.col("level").cast("long").alias("level"), "title")
 
 
@@ -264,10 +261,9 @@ r AS (SELECT t.*, budget, row_number() OVER (PARTITION BY doc_id ORDER BY score
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY rank) AS spent FROM r WHERE rank <= 5), v AS (SELECT *, min(CASE WHEN spent > budget AND rank > 2 THEN rank END) OVER (PARTITION BY doc_id) AS cut FROM u)
 SELECT doc_id, sec::BIGINT AS sec, rank FROM v WHERE cut IS NULL OR rank < cut""")
 def md_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks from titles of 40 characters, as the SQL has them: a query word further on in a title line is not seen."""
     lines = L.lines_of(table(spark, sf_dir, "documents").filter("text IS NOT NULL"), keep=("doc_id",))
     side = lambda odd, v: F.max(F.when(F.col("ord") % 2 == odd, F.trim(v)))
-    sections = lines.groupBy("doc_id", F.floor(F.col("ord") / 2).alias("sec")).agg(side(0, F.substring("line", 1, 40)).alias("title"), F.coalesce(side(1, F.col("line")), F.lit("")).alias("content"))
+    sections = lines.groupBy("doc_id", F.floor(F.col("ord") / 2).alias("sec")).agg(side(0, F.col("line")).alias("title"), F.coalesce(side(1, F.col("line")), F.lit("")).alias("content"))
     sections = sections.filter("title <> ''").withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("content") / 4)))
     scored = sections.withColumn("score", markdown.score_column(F.col("title"), F.col("content"), F.col("sec") % 3 + 1, ["the", "of"]))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("budget"))
@@ -291,9 +287,27 @@ def collapse_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", L.collapse_blanks(L.strip_ansi(F.col("text"))).alias("text"))
 
 
-@query(f"WITH l AS ({_LINES}) SELECT doc_id, ord::BIGINT AS ord FROM l WHERE trim(line) <> '' AND length(regexp_replace(trim(line), '[^━█▓░▒■□●○#=>{{}}/|-]', '', 'g')) * 2 >= length(trim(line))")
+_BAR_LINE = "repeat('█', event_id % 9) || repeat('░', event_id % 4) || repeat('x', event_id % 11) || ' ' || event_type"
+
+
+@query(f"WITH l AS (SELECT event_id, {_BAR_LINE} AS line FROM events) SELECT event_id, line FROM l WHERE trim(line) <> '' AND length(regexp_replace(trim(line), '[^━█▓░▒■□●○#=>{{}}/|-]', '', 'g')) * 2 >= length(trim(line))")
 def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.lines_of(table(spark, sf_dir, "documents"), keep=("doc_id",)).filter(L.is_progress(F.col("line"))).select("doc_id", "ord")
+    bar = lambda c, n: F.repeat(F.lit(c), (F.col("event_id") % n).cast("int"))
+    line = F.concat(bar("█", 9), bar("░", 4), bar("x", 11), F.lit(" "), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", line.alias("line")).filter(L.is_progress(F.col("line")))
+
+
+@query("""SELECT user_id, '[id;who:{kind;size};tags:[{k;v}]]' || chr(10) || string_agg(event_id || ';{' || event_type || ';' || user_id || '};' || CASE WHEN event_id % 2 = 0 THEN '[{' || event_type || '}]' ELSE '[{' || event_id || '}]' END, chr(10) ORDER BY event_id) AS compact
+FROM events GROUP BY user_id HAVING bool_or(event_id % 2 = 0) AND arg_min(event_id % 2, event_id) = 0 AND bool_or(event_id % 2 = 1)""")
+def compact_json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and tables within rows; the tables' columns are the union of their keys (users whose first event is even)."""
+    even = F.col("event_id") % 2 == 0
+    doc = F.when(even, F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("size")).alias("who"), F.array(F.struct(F.col("event_type").alias("k"))).alias("tags"))))
+    doc = doc.otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("size")).alias("who"), F.array(F.struct(F.col("event_id").alias("v"))).alias("tags"))))
+    rows = F.array_sort(F.collect_list(F.struct("event_id", doc.alias("doc"))))
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(rows.alias("rows")).filter("rows[0].event_id % 2 = 0 AND exists(rows, x -> x.event_id % 2 = 1)")
+    text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["doc"]), ","), F.lit("]"))
+    return users.select("user_id", compact_json.compact_json_column(text).alias("compact"))
 
 
 @query()

@@ -9,35 +9,45 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate, groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names that are pruned from every listing, and those that fast mode prunes besides.
 SKIPPED_DIRS = (
-    ".git .hg .svn .worktrees .idea .vs .vscode .eclipse .claude .cache .eggs .env .mypy_cache .nox .pytest_cache .ruff_cache .tox .venv __pycache__ env htmlcov "
-    "site-packages venv .npm .nyc_output .pnpm-store .yarn bower_components coverage node_modules .next .nuxt .svelte-kit .angular .turbo .parcel-cache .docusaurus "
-    ".expo dist obj Pods target temp tmp .terraform .serverless bazel-bin bazel-out bazel-testlogs .cargo .stack-work .dart_tool zig-cache zig-out .metals .bloop "
-    ".bsp .ccls-cache .clangd elm-stuff _opam .cpcache .shadow-cljs .vercel .netlify .qdrant_code_embeddings .tmp vendor"
-).split()
+    ".git", ".hg", ".svn", ".worktrees", ".idea", ".vs", ".vscode", ".eclipse", ".claude", ".cache", ".eggs", ".env", ".mypy_cache", ".nox",
+    ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "env", "htmlcov", "site-packages", "venv", ".npm", ".nyc_output", ".pnpm-store",
+    ".yarn", "bower_components", "coverage", "node_modules", ".next", ".nuxt", ".svelte-kit", ".angular", ".turbo", ".parcel-cache", ".docusaurus",
+    ".expo", "dist", "obj", "Pods", "target", "temp", "tmp", ".terraform", ".serverless", "bazel-bin", "bazel-out", "bazel-testlogs", ".cargo",
+    ".stack-work", ".dart_tool", "zig-cache", "zig-out", ".metals", ".bloop", ".bsp", ".ccls-cache", ".clangd", "elm-stuff", "_opam", ".cpcache",
+    ".shadow-cljs", ".vercel", ".netlify", ".qdrant_code_embeddings", ".tmp", "vendor",
+)
 FAST_DIRS = (
-    "generated gen auto-generated fixtures testdata test_data __tests__ __mocks__ __snapshots__ __fixtures__ __test__ docs doc documentation examples example "
-    "samples sample assets static public media third_party thirdparty 3rdparty external migrations seeds e2e integration locale locales i18n l10n scripts tools "
-    "hack bin build out"
-).split()
+    "generated", "gen", "auto-generated", "fixtures", "testdata", "test_data", "__tests__", "__mocks__", "__snapshots__", "__fixtures__", "__test__",
+    "docs", "doc", "documentation", "examples", "example", "samples", "sample", "assets", "static", "public", "media", "third_party", "thirdparty",
+    "3rdparty", "external", "migrations", "seeds", "e2e", "integration", "locale", "locales", "i18n", "l10n", "scripts", "tools", "hack", "bin",
+    "build", "out",
+)
 SKIPPED_ENDINGS = (
-    ".tmp ~ .pyc .pyo .o .a .so .dll .class .png .jpg .jpeg .gif .ico .bmp .tiff .webp .svg .wasm .node .exe .bin .dat .db .sqlite .sqlite3 .woff .woff2 .ttf .eot .otf"
-).split()
+    ".tmp", "~", ".pyc", ".pyo", ".o", ".a", ".so", ".dll", ".class", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".bmp", ".tiff", ".webp", ".svg",
+    ".wasm", ".node", ".exe", ".bin", ".dat", ".db", ".sqlite", ".sqlite3", ".woff", ".woff2", ".ttf", ".eot", ".otf",
+)
 FAST_ENDINGS = (
-    ".zip .tar .gz .bz2 .xz .rar .7z .jar .war .ear .mp3 .mp4 .avi .mov .wav .flac .ogg .mkv .webm .pdf .doc .docx .xls .xlsx .ppt .pptx .odt .ods .map .min.js "
-    ".min.css .pem .crt .key .cer .p12 .pb .avro .parquet .beam .elc .rlib .coverage .prof .out .patch .diff"
-).split()
+    ".zip", ".tar", ".gz", ".bz2", ".xz", ".rar", ".7z", ".jar", ".war", ".ear", ".mp3", ".mp4", ".avi", ".mov", ".wav", ".flac", ".ogg", ".mkv",
+    ".webm", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods", ".map", ".min.js", ".min.css", ".pem", ".crt", ".key", ".cer",
+    ".p12", ".pb", ".avro", ".parquet", ".beam", ".elc", ".rlib", ".coverage", ".prof", ".out", ".patch", ".diff",
+)
 FAST_NAMES = (
-    "LICENSE LICENSE.txt LICENSE.md LICENSE-MIT LICENSE-APACHE LICENCE LICENCE.txt LICENCE.md CHANGELOG CHANGELOG.md CHANGES.md HISTORY HISTORY.md AUTHORS AUTHORS.md "
-    "CONTRIBUTORS CONTRIBUTORS.md CODEOWNERS go.sum yarn.lock pnpm-lock.yaml Pipfile.lock poetry.lock Gemfile.lock Cargo.lock mix.lock flake.lock pubspec.lock "
-    "composer.lock package-lock.json configure Makefile.in config.guess config.sub"
-).split()
-FAST_PARTS = ".d.ts .bundle. .chunk. .generated. .pb.go _pb2.py .pb2.py _grpc.pb.go _string.go mock_ _mock. _test_helpers. .stories. .spec. .test.".split()
+    "LICENSE", "LICENSE.txt", "LICENSE.md", "LICENSE-MIT", "LICENSE-APACHE", "LICENCE", "LICENCE.txt", "LICENCE.md", "CHANGELOG", "CHANGELOG.md",
+    "CHANGES.md", "HISTORY", "HISTORY.md", "AUTHORS", "AUTHORS.md", "CONTRIBUTORS", "CONTRIBUTORS.md", "CODEOWNERS", "go.sum", "yarn.lock",
+    "pnpm-lock.yaml", "Pipfile.lock", "poetry.lock", "Gemfile.lock", "Cargo.lock", "mix.lock", "flake.lock", "pubspec.lock", "composer.lock",
+    "package-lock.json", "configure", "Makefile.in", "config.guess", "config.sub",
+)
+FAST_PARTS = (
+    ".d.ts", ".bundle.", ".chunk.", ".generated.", ".pb.go", "_pb2.py", ".pb2.py", "_grpc.pb.go", "_string.go", "mock_", "_mock.", "_test_helpers.",
+    ".stories.", ".spec.", ".test.",
+)
 LANGUAGES = {"py": "Python", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "ts": "TypeScript", "tsx": "Tsx"}
 
 
@@ -47,7 +57,7 @@ def language(path: Column) -> Column:
     return reduce(lambda c, kv: c.when(ending == kv[0], kv[1]), LANGUAGES.items(), F.when(F.lit(False), F.lit(None).cast("string")))
 
 
-def _any(words: list[str]) -> str:
+def _any(words: tuple[str, ...]) -> str:
     return "|".join(map(re.escape, words))
 
 
@@ -77,11 +87,13 @@ def ignore_regex(pattern: str, base: str = "") -> tuple[str, bool] | None:
 
 
 def ignored(rel_path: Column, rules: list[tuple[str, bool]]) -> Column:
-    """By the last rule that fits."""
-    out = F.lit(False)
-    for regex, back in rules:
-        out = F.when(rel_path.rlike(regex), F.lit(not back)).otherwise(out)
-    return out
+    """By the last rule that fits: rules in a row that mean the same are one pattern, and the runs one flat array."""
+    runs = [(back, [r for r, _ in run]) for back, run in groupby(rules, key=lambda x: x[1])]
+    if not runs:
+        return F.lit(False)
+    each = [F.when(rel_path.rlike("|".join(f"(?:{r})" for r in regexes)), F.lit(k)) for k, (_, regexes) in enumerate(runs)]
+    last = F.array_max(F.array(*each))
+    return F.coalesce(F.element_at(F.array(*[F.lit(not back) for back, _ in runs]), last + 1), F.lit(False))
 
 
 def listed(spark: SparkSession, root: str, fast: bool = False) -> tuple[list[tuple[str, str, int, int]], list[str]]:
@@ -167,7 +179,11 @@ def documents_at(spark: SparkSession, path: str, column: str = "text") -> DataFr
 
 
 def commits(log: DataFrame, line: str = "value", order: str = "ord") -> DataFrame:
-    """(commit_ord, path) from lines of `git log --name-only --pretty=format:COMMIT`, with an order column."""
+    """(commit_ord, path) from lines of `git log --name-only --pretty=format:COMMIT`, with an order column.
+
+    Whole logs are numbered in one partition, which only suits the log of one repository; where lines come with their
+    commit's number, as from git_log, none of this is needed.
+    """
     from pyspark.sql import Window
 
     marked = log.withColumn("commit_ord", F.sum((F.col(line) == "COMMIT").cast("long")).over(Window.orderBy(order)))
@@ -179,5 +195,6 @@ def git_log(spark: SparkSession, repo: str, since: str = "1 year ago", most: int
     import subprocess
 
     done = subprocess.run(["git", "-C", repo, "log", "--name-only", "--pretty=format:COMMIT", f"--since={since}", "-n", str(most)], capture_output=True, text=True, check=False)
-    lines = done.stdout.splitlines() if done.returncode == 0 else []
-    return commits(spark.createDataFrame(list(enumerate(lines)), "ord long, value string"))
+    numbered = accumulate((done.stdout if done.returncode == 0 else "").splitlines(), lambda x, said: (x[0] + (said == "COMMIT"), said), initial=(0, ""))
+    rows = [(n, said.strip()) for n, said in numbered if said.strip() and said != "COMMIT"]
+    return spark.createDataFrame(rows, "commit_ord long, path string")

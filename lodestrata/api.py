@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.functions import commands, compact_json, html, markdown
 from lodestrata.functions.output import engine
@@ -99,8 +101,6 @@ class Workbench:
 
 def register_functions(spark: SparkSession) -> None:
     """The text operators as SQL functions, in Arrow batches. In DataFrames commands.command_hint needs no Python."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     def compact(texts: pd.Series) -> pd.Series:
         return pd.Series([engine.compact_output(t) for t in texts], dtype=object)

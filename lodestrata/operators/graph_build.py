@@ -16,7 +16,8 @@ def node_id(qualified_name: Column) -> Column:
 
 
 def merged_properties(rows: DataFrame, keys: list[str], properties: str = "properties", order: str = "ord") -> DataFrame:
-    """One map for each key: of each property the value that was written last."""
+    """One map for each key: of each property the value that was written last. Writers of a property meet in pairs,
+    not in one list, however many there are."""
     each = rows.select(*keys, order, F.explode(properties).alias("k", "v"))
     last = each.groupBy(*keys, "k").agg(F.max_by("v", F.struct(order, "v")).alias("v"))
     return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(properties))
@@ -24,9 +25,10 @@ def merged_properties(rows: DataFrame, keys: list[str], properties: str = "prope
 
 def upsert_nodes(rows: DataFrame) -> DataFrame:
     """rows (qualified_name, label, name, file_path, line_start, line_end, properties, ord) to one node for each
-    qualified name: its first ord, the last writer's fields, all writers' properties."""
-    fields = ["label", "name", "file_path", "line_start", "line_end"]
-    merged = rows.groupBy("qualified_name").agg(F.min("ord").alias("ord"), F.max_by(F.struct(*fields), "ord").alias("last"))
+    qualified name: its first ord, the last writer's fields (of writers with the same ord the greatest), all writers'
+    properties."""
+    fields = F.struct("label", "name", "file_path", "line_start", "line_end")
+    merged = rows.groupBy("qualified_name").agg(F.min("ord").alias("ord"), F.max_by(fields, F.struct(F.col("ord"), fields)).alias("last"))
     properties = merged_properties(rows, ["qualified_name"])
     out = merged.join(properties, "qualified_name", "left").select(
         node_id(F.col("qualified_name")).alias("id"), "last.*", "qualified_name", "ord", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties")
@@ -36,11 +38,14 @@ def upsert_nodes(rows: DataFrame) -> DataFrame:
 
 def merge_edges(rows: DataFrame) -> DataFrame:
     """rows (source_id, target_id, edge_type, confidence, properties, ord) to one edge for each triple: the greatest
-    confidence (null is least), the first ord, all properties."""
+    confidence (null is least), the first ord, all properties. One pass: each property is a row with the edge's other
+    columns, and edges without any have one with a null key, so partial aggregation still combines on the map side."""
     keys = ["source_id", "target_id", "edge_type"]
-    merged = rows.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.min("ord").alias("ord"))
-    properties = merged_properties(rows, keys)
-    return merged.join(properties, keys, "left").select(*keys, "confidence", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), "ord")
+    each = rows.select(*keys, "confidence", "ord", F.explode_outer("properties").alias("k", "v"))
+    last = each.groupBy(*keys, "k").agg(F.max("confidence").alias("confidence"), F.min("ord").alias("first"), F.max_by("v", F.struct("ord", "v")).alias("v"))
+    entries = F.array_sort(F.filter(F.collect_list(F.struct("k", "v")), lambda x: x["k"].isNotNull()))
+    merged = last.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.min("first").alias("ord"), entries.alias("entries"))
+    return merged.select(*keys, "confidence", F.map_from_entries("entries").cast("map<string,string>").alias("properties"), "ord")
 
 
 def merge_graphs(main: DataFrame, other: DataFrame) -> DataFrame:
@@ -141,15 +146,18 @@ def resolve_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame, strict_
     """calls (call_id, project, rel_path, callee, caller_qn) to (call_id, target_qn, confidence, strategy).
 
     defs (qualified_name, simple_name, ord), imports (rel_path, module_path, alias, names, ord). One join on the
-    simple name makes the candidates; each gets the best strategy that admits it, and a call takes its best one:
-    import map, same module, unique name, then the longest common prefix with the caller, the last on ties.
-    An imported dotted module also stands for its path unless strict_imports.
+    simple name makes the candidates of each distinct question (file, callee, caller); each gets the best strategy that
+    admits it, and a question takes its best one: import map, same module, unique name, then the longest common prefix
+    with the caller, the last on ties. An imported dotted module also stands
+    for its path unless strict_imports.
     """
     named = imports.select("rel_path", "module_path", F.col("ord").alias("import_ord"), F.explode(F.array_distinct(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.filter(F.array("alias"), lambda x: x.isNotNull())))).alias("callee"))
     named = named.groupBy("rel_path", "callee").agg(F.collect_list(F.struct("import_ord", "module_path")).alias("modules"))
     counted = defs.groupBy("simple_name").agg(F.count(F.lit(1)).alias("n"))
-    candidates = calls.join(defs.select(F.col("simple_name").alias("callee"), F.col("qualified_name").alias("target_qn"), F.col("ord").alias("def_ord")), "callee")
-    candidates = candidates.join(counted.withColumnRenamed("simple_name", "callee"), "callee").join(named, ["rel_path", "callee"], "left")
+    question = ["project", "rel_path", "callee", "caller_qn"]
+    asked = calls.select(*question).distinct().withColumn("question", F.xxhash64(*question))
+    known = defs.select(F.col("simple_name").alias("callee"), F.col("qualified_name").alias("target_qn"), F.col("ord").alias("def_ord"))
+    candidates = asked.join(known, "callee").join(counted.withColumnRenamed("simple_name", "callee"), "callee").join(named, ["rel_path", "callee"], "left")
     hits = lambda m: F.col("target_qn").contains(m["module_path"]) | (F.lit(not strict_imports) & F.col("target_qn").contains(F.replace(m["module_path"], F.lit("."), F.lit("/"))))
     import_ord = F.array_min(F.transform(F.filter("modules", hits), lambda m: m["import_ord"]))
     same = F.startswith(F.col("target_qn"), F.concat_ws("::", F.col("project"), F.col("rel_path"), F.lit("")))
@@ -158,7 +166,8 @@ def resolve_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame, strict_
     candidates = candidates.withColumn("rank", rank).withColumn("import_first", import_ord).withColumn("caller", F.coalesce("caller_qn", file_qn(F.col("project"), F.col("rel_path"))))
     candidates = with_common_prefix(candidates, "target_qn", "caller", "prefix", last)
     tie = F.struct(F.when(last, -F.col("prefix")).otherwise(F.coalesce("import_first", F.lit(0))).cast("long").alias("first"), F.when(last, -F.col("def_ord")).otherwise(F.col("def_ord")).alias("then"))
-    best = candidates.withColumn("tie", tie).groupBy("call_id").agg(F.min_by(F.struct("target_qn", "rank"), F.struct("rank", "tie")).alias("best"))
+    best = candidates.withColumn("tie", tie).groupBy("question").agg(F.min_by(F.struct("target_qn", "rank"), F.struct("rank", "tie")).alias("best"))
+    best = calls.select("call_id", F.xxhash64(*question).alias("question")).join(best, "question")
     confidence = F.element_at(F.array(*[F.lit(c) for c in (S.IMPORT_MAP, S.SAME_MODULE, S.UNIQUE_NAME, S.SUFFIX_MATCH)]), F.col("best.rank"))
     strategy = F.element_at(F.array(*map(F.lit, ("import_map", "same_module", "unique_name", "suffix_match"))), F.col("best.rank"))
     return best.select("call_id", "best.target_qn", confidence.alias("confidence"), strategy.alias("strategy"))

@@ -1,8 +1,8 @@
 """Bounded breadth-first search: one join of the frontier with the edges a level, visited nodes left out.
 
 A node keeps the way by which it was found first. Ways are ordered by the order of their edges, compared from the
-start on, which is the order in which a queue would find them; no global sort is needed. Each level is written to
-the shared folder, so a lost executor costs at most a level.
+start on, which is the order in which a queue would find them; no global sort is needed. The adjacency, once, and each
+level are written to the shared folder, so edges are worked out once and a lost executor costs at most a level.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.sources.workspace import shared_dir, written
 
+
 def _adjacent(edges: DataFrame, direction: str, edge_types: tuple[str, ...] | None) -> DataFrame:
     """(here, there, ord, via) by direction; both walks out-edges of a node before its in-edges."""
     if edge_types is not None:
@@ -26,7 +27,8 @@ def trace_fan(edges: DataFrame, starts: DataFrame, direction: str = "both", dept
     """starts (id) to (id, depth, via): every node within depth steps, with the edge that found it first."""
     if direction not in ("outbound", "inbound", "both"):
         raise ValueError(f"no such direction: {direction}")
-    folder, steps = shared_dir(edges.sparkSession), _adjacent(edges, direction, edge_types)
+    folder = shared_dir(edges.sparkSession)
+    steps = written(_adjacent(edges, direction, edge_types), folder, "steps")
     root = starts.select("id", F.lit(0).alias("depth"), F.expr("cast(null as struct<source_id:bigint,target_id:bigint,edge_type:string>)").alias("via"), F.expr("cast(array() as array<struct<side:int,ord:bigint>>)").alias("rank"))
     seen = frontier = written(root.dropDuplicates(["id"]), folder, "level0")
     for level in range(1, depth + 1):
@@ -45,7 +47,8 @@ def trace_path(edges: DataFrame, source: DataFrame, target: DataFrame, max_depth
 
     No way within max_depth steps, or a missing end: no rows. From a node to itself: its shortest cycle.
     """
-    folder, steps = shared_dir(edges.sparkSession), _adjacent(edges, "outbound", None)
+    folder = shared_dir(edges.sparkSession)
+    steps = written(_adjacent(edges, "outbound", None), folder, "steps")
     empty = F.expr("cast(array() as array<struct<ord:struct<side:int,ord:bigint>,via:struct<source_id:bigint,target_id:bigint,edge_type:string>>>)")
     seen = frontier = written(source.select("id", empty.alias("way")), folder, "level0")
     goal = target.select("id")

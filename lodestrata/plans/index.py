@@ -3,7 +3,7 @@ co-changes; whole, or only for files that changed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import enrich as E
@@ -52,8 +52,8 @@ def build_graph(files: DataFrame, commits: DataFrame | None = None) -> tuple[Dat
     calls = calls.withColumn("call_id", F.xxhash64("project", "rel_path", "ord"))
     known = defs.select("qualified_name", F.col("name").alias("simple_name"), def_ord.alias("key"))
     ranks = known.groupBy("qualified_name", "simple_name").agg(F.min("key").alias("key"))
-    by_name = ranks.groupBy("simple_name").agg(F.array_sort(F.collect_list(F.struct("key", "qualified_name"))).alias("all"))
-    registry = by_name.select("simple_name", F.posexplode("all").alias("ord", "x")).select("simple_name", F.col("x.qualified_name").alias("qualified_name"), F.col("ord").cast("long").alias("ord"))
+    by_key = Window.partitionBy("simple_name").orderBy("key", "qualified_name")  # sorted, not gathered: names may be common
+    registry = ranks.select("simple_name", "qualified_name", F.row_number().over(by_key).cast("long").alias("ord"))
     resolved = B.resolve_calls(calls.select("call_id", "project", "rel_path", "callee", "caller_qn"), registry, imports.select("rel_path", "module_path", "alias", "names", "ord"))
     resolved = resolved.join(calls.select("call_id", "project", "rel_path", "caller_qn", "ord"), "call_id")
     resolved = resolved.withColumn("source_qn", F.coalesce("caller_qn", B.file_qn(F.col("project"), F.col("rel_path"))))

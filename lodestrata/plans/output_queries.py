@@ -13,6 +13,7 @@ from string import Formatter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions import html, markdown
 from lodestrata.functions.output import engine
 from lodestrata.plans.star_graph import table
 
@@ -115,3 +116,52 @@ for _case in (
 ):
     _name = f"cells_{_case.hint.replace('-', '_')}"
     QUERIES[_name], SQL[_name] = _case.spark, _case.oracle()
+
+
+def rendered(spark: SparkSession, sf_dir: str, line: str, head: str = "", tail: str = "") -> DataFrame:
+    """A text for each user: head, a line for each event in order, tail."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.expr(_sql(line)).alias("line")))), lambda x: x["line"])
+    texts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(rows, "\n").alias("lines"))
+    return texts.select("user_id", F.concat(F.expr(_sql(head)), F.col("lines"), F.expr(_sql(tail))).alias("text"))
+
+
+PAGE = '<h2 class="x">{T}</h2><p>{I} is <b>bold</b> and <a href="/u/{I}" id=k>here</a></p><ul><li>one {I}<li>two</ul><div class="cookie-bar">no</div>'
+PAGE_HEAD, PAGE_TAIL = "<html><head><title>t</title></head><body><nav>n</nav><!-- c --><script>x()</script>", "</body></html>"
+
+
+def _page_query(mode: str, each: str, between: str = "\n", head: str = "", tail: str = "") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rendered(spark, sf_dir, PAGE, PAGE_HEAD, PAGE_TAIL).select("user_id", html.clean_html_column(F.col("text"), mode).alias("text"))
+
+    QUERIES[f"page_{mode}"] = run
+    SQL[f"page_{mode}"] = f"SELECT user_id, {_sql(head)} || string_agg({_sql(each)}, {_sql(between)} ORDER BY event_id) || {_sql(tail)} AS text FROM events GROUP BY user_id"
+
+
+_page_query("markdown", "## {T}\n{I} is\n**bold**\nand\n[here](/u/{I})\n- one {I}\n- two")
+_page_query("text", "{T}\n{I} is\nbold\nand\nhere\none {I}\ntwo", "\n\n")
+_page_query("minimal", '<h2 class="x">{T}</h2><p>{I} is <b>bold</b> and <a href="/u/{I}" id="k">here</a></p><ul><li>one {I}</li><li>two</li></ul><div class="cookie-bar">no</div>', head="<body><nav>n</nav>", tail="</body>")
+
+
+def generic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output of an unknown command whose lines repeat; short ones stay as they are."""
+    return rendered(spark, sf_dir, "it was a {T} that came along").select("user_id", engine.compact_output_column(F.col("text")).alias("text"))
+
+
+def outline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section and one below it for each event. A section below a better one is no hit of its own."""
+    docs = rendered(spark, sf_dir, "# alpha beta {T} {I}\nwhat happened\n## alpha beta notes {I}\nan {T}\n")
+    hits = markdown.hits_of(docs.withColumn("query", F.lit("alpha beta error")), "text", "query", ("user_id",))
+    return hits.select("user_id", F.col("rank").cast("long").alias("rank"), "title", "path", "score", "match_type", "content")
+
+
+QUERIES |= {"generic_runs": generic_runs, "outline_search": outline_search}
+SQL["generic_runs"] = f"""WITH e AS (SELECT *, {_sql("it was a {T} that came along")} AS line, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+r AS (SELECT *, sum((event_type IS DISTINCT FROM prev)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e), g AS (SELECT user_id, run, min(line) || CASE WHEN count(*) > 1 THEN ' (x' || count(*) || ')' ELSE '' END AS line FROM r GROUP BY ALL),
+a AS (SELECT user_id, string_agg(line, chr(10) ORDER BY event_id) AS plain FROM e GROUP BY user_id), b AS (SELECT user_id, string_agg(line, chr(10) ORDER BY run) AS short FROM g GROUP BY user_id)
+SELECT user_id, CASE WHEN length(plain) < 500 THEN plain ELSE short END AS text FROM a JOIN b USING (user_id)"""
+SQL["outline_search"] = f"""WITH x AS (SELECT *, bool_or({ERROR}) OVER (PARTITION BY user_id) AS any_error FROM events),
+h AS (SELECT user_id, event_id, {_sql("alpha beta {T} {I}")} AS title, {_sql("# alpha beta {T} {I}")} AS path, 1.05 AS score, 'header' AS match_type, {_sql("what happened" + chr(10) * 2 + "## alpha beta notes {I}" + chr(10) * 2 + "an {T}")} AS content FROM x WHERE any_error AND {ERROR}
+ UNION ALL SELECT user_id, event_id, {_sql("alpha beta notes {I}")}, {_sql("# alpha beta {T} {I} > ## alpha beta notes {I}")}, 0.767, 'content', {_sql("an {T}")} FROM x WHERE NOT any_error
+ UNION ALL SELECT user_id, event_id + 1000000000, {_sql("alpha beta {T} {I}")}, {_sql("# alpha beta {T} {I}")}, 0.717, 'content', {_sql("what happened" + chr(10) * 2 + "## alpha beta notes {I}" + chr(10) * 2 + "an {T}")} FROM x WHERE NOT any_error),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM h)
+SELECT user_id, rank, title, path, score::DOUBLE AS score, match_type, content FROM r WHERE rank <= 5"""

@@ -92,8 +92,8 @@ def ignored(rel_path: Column, rules: list[tuple[str, bool]]) -> Column:
     if not runs:
         return F.lit(False)
     each = [F.when(rel_path.rlike("|".join(f"(?:{r})" for r in regexes)), F.lit(k)) for k, (_, regexes) in enumerate(runs)]
-    last = F.array_max(F.array(*each))
-    return F.coalesce(F.element_at(F.array(*[F.lit(not back) for back, _ in runs]), last + 1), F.lit(False))
+    last = F.coalesce(F.array_max(F.array(*each)), F.lit(-1))
+    return F.element_at(F.array(F.lit(False), *[F.lit(not back) for back, _ in runs]), last + 2)
 
 
 def listed(spark: SparkSession, root: str, fast: bool = False) -> tuple[list[tuple[str, str, int, int]], list[str]]:

@@ -144,3 +144,9 @@ def test_usage_stream(spark, tmp_path):
     query = W.usage_stream(stream).writeStream.format("memory").queryName("usage").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r.tool, r.queries, r.content_tokens) for r in spark.table("usage").collect()) == [("t", 2, 4), ("u", 1, 2)]
+
+
+def test_many_ignore_rules(spark):
+    rules = [r for k in range(600) if (r := S.ignore_regex(f"{'!' * (k % 3 == 2)}f{k // 3}.*" if k % 3 else f"dir{k}/"))]
+    paths = spark.createDataFrame([("dir3/a.py",), ("f1.py",), ("f7.x",), ("other.py",)], "p string")
+    assert [r[0] for r in paths.coalesce(1).filter(~S.ignored(F.col("p"), rules)).collect()] == ["f1.py", "f7.x", "other.py"]

@@ -114,3 +114,20 @@ def test_columns(spark):
     assert [r.d for r in out] == [*SAMPLES, None, None, None]
     assert [r.p and r.p.summary for r in out] == [s for _, s, _ in SAMPLES.values()] + [None] * 3
     assert out[-1].c == "words" and out[-3].c == ""
+
+
+def test_exceptions_of_any_name():
+    text = 'Traceback (most recent call last):\n  File "a.py", line 1, in f\n    x = 1\n        ^\npkg.errors.Halt: told\nmore of it\ndone\n'
+    assert E.parse_output(text).rows == [["pkg.errors.Halt", "a.py", "1", "f", "told"]]
+    assert E.parse_output('Traceback (most recent call last):\n  File "<s>", line 2, in <module>\nKeyboardInterrupt').rows == [["KeyboardInterrupt", "<s>", "2", "<module>", ""]]
+
+
+def test_lines_that_only_resemble():
+    assert E.parse_output("a.py:1: E501 no column", "ruff").rows == [] and E.parse_output("a.py:x:1: E501 bad", "ruff").rows == []
+    assert E.parse_output("C:/x/a.py:3:4: PLR0913 many", "ruff").rows == [["C:/x/a.py", "3", "4", "PLR0913", "convention", "many"]]
+    assert E.parse_output("note: m.py: error", "mypy").rows == []
+    assert E.parse_output("m.py:3: error: Value [x] is bad", "mypy").rows == [["m.py", "3", "", "error", "", "Value [x] is bad"]]
+    assert E.parse_output("FAILED t/a.py::TestX::test_y[1-2] - assert 0\n", "pytest").rows == []
+    head = "=== short test summary info ===\nFAILED t/a.py::TestX::test_y[1-2] - assert 0 - 1\nERROR t/b.py - ImportError\n===== 2 failed ====="
+    assert E.parse_output(head, "pytest").rows == [["test_y[1-2]", "FAILED", "t/a.py", "", "assert 0 - 1"], ["t/b.py", "ERROR", "t/b.py", "", "ImportError"]]
+    assert E.parse_output("abc1234 (\nxyz", "git-blame").rows == [] and E.parse_output("stash@{x}: On main: m", "git-stash").rows == []

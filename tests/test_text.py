@@ -94,3 +94,27 @@ def test_chains():
     assert C.split_chain('echo "a && b" & c') == ['echo "a && b" & c']
     assert C.find_primary(["git diff", "cd x"]) == "git diff" and C.find_primary(["cd x", "mkdir y"]) == "mkdir y" and C.find_primary([]) == ""
     assert C.wrapped_command("cd x && pytest", "run") == "run 'cd x && pytest'" and C.wrapped_command("cd x", "run") == "cd x"
+
+
+@pytest.mark.parametrize("tag", ["div", "blockquote", "span", "ul><li", "p"])
+def test_deep_pages(tag):
+    page = f"<{tag}>" * 20_000 + "x"
+    assert H.clean_html(page, "text") == "x" and H.clean_html(page, "minimal").count(tag[:2]) >= 20_000
+    assert H.clean_html(page).endswith("x")
+
+
+def test_deep_json(spark):
+    deep = "[" * 30_000 + "]" * 30_000
+    with pytest.raises(ValueError):
+        J.compact_json(deep)
+    assert J.compact_if_shorter(deep) == deep
+    rows = spark.createDataFrame([(deep,), ("[1]",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in rows.select(J.compact_json_column(rows["t"])).collect()] == [None, "[1]", None]
+
+
+def test_functions_in_sql(spark):
+    from lodestrata.api import register_functions
+
+    register_functions(spark)
+    row = spark.sql("SELECT match_command('git diff x') AS a, clean_html('<h1>T</h1>') AS b, compact_output('two  words') AS c, compact_json('{\"a\":1}') AS d, match_command(NULL) AS e").first()
+    assert tuple(row) == ("git-diff", "# T", "two  words", "[a]\n1", None)

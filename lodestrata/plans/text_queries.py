@@ -28,6 +28,14 @@ def query(sql: str | None = None):
     return kept
 
 
+#: Lines' places: order and line number, then the part, as several lines of an order share a number.
+_PLACE = "((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey)"
+
+
+def _place() -> Column:
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("ord")
+
+
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents"
 
 
@@ -88,22 +96,22 @@ def run_length_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.runs(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", ["event_type"])
 
 
-@query("""WITH r AS (SELECT l_suppkey, l_returnflag AS rule, l_orderkey * 10 + l_linenumber AS ord, l_shipmode_like AS file FROM (SELECT *, 'f' || (l_partkey % 5) AS l_shipmode_like FROM lineitem)),
+@query(f"""WITH r AS (SELECT l_suppkey, l_returnflag AS rule, {_PLACE} AS ord, l_shipmode_like AS file FROM (SELECT *, 'f' || (l_partkey % 5) AS l_shipmode_like FROM lineitem)),
 p AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, rule ORDER BY ord) AS place, count(*) OVER (PARTITION BY l_suppkey, rule) AS n, min(ord) OVER (PARTITION BY l_suppkey, rule) AS rule_order FROM r),
 g AS (SELECT l_suppkey, rule, min(ord) AS rule_order, count(*) AS n, count(DISTINCT file) AS files, min(file) AS only_file FROM r GROUP BY ALL)
 SELECT l_suppkey, rule, rule_order, place, file AS said FROM p WHERE n <= 3 OR place <= 2
 UNION ALL SELECT l_suppkey, rule, rule_order, 0, n || ' occurrences ' || CASE WHEN files = 1 THEN only_file ELSE files || ' files' END FROM g WHERE n > 3
 UNION ALL SELECT l_suppkey, rule, rule_order, 3, '... (' || (n - 2) || ' more)' FROM g WHERE n > 3""")
 def lint_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("rule"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("f"), (F.col("l_partkey") % 5).cast("string")).alias("file"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("rule"), _place(), F.concat(F.lit("f"), (F.col("l_partkey") % 5).cast("string")).alias("file"))
     return L.lint_groups(rows, ["l_suppkey"], "ord", "rule", "file")
 
 
-@query("""WITH g AS (SELECT l_suppkey, count(*) AS size, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY l_suppkey ORDER BY size DESC, f LIMIT 15),
-r AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ord, size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS place FROM lineitem JOIN g USING (l_suppkey))
+@query(f"""WITH g AS (SELECT l_suppkey, count(*) AS size, min({_PLACE}) AS f FROM lineitem GROUP BY l_suppkey ORDER BY size DESC, f LIMIT 15),
+r AS (SELECT l_suppkey, {_PLACE} AS ord, size, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_PLACE}) AS place FROM lineitem JOIN g USING (l_suppkey))
 SELECT l_suppkey, ord, size, place FROM r WHERE place <= 3""")
 def topk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", _place())
     return L.top_groups(rows, "l_suppkey", "ord").withColumn("place", F.col("place").cast("long"))
 
 
@@ -112,10 +120,10 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.status_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus")
 
 
-@query("""WITH m AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS v, row_number() OVER w AS pos, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber))
+@query(f"""WITH m AS (SELECT l_suppkey, {_PLACE} AS ord, l_returnflag AS v, row_number() OVER w AS pos, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {_PLACE}))
 SELECT l_suppkey, ord, CASE WHEN n > 20 AND pos = 16 THEN '... (' || (n - 15) || ' more)' ELSE v END AS v FROM m WHERE n <= 20 OR pos <= 16""")
 def head_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("v"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", _place(), F.col("l_returnflag").alias("v"))
     return L.head_more(rows, ["l_suppkey"], "ord", "v", 15, 20)
 
 

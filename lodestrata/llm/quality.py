@@ -3,7 +3,7 @@
 Trusted positives are labelled texts of quality 1 outside the held-out fold; the unlabelled are a sample of all
 documents, whose labels are not read. The class prior is estimated from how rarely, relative to the positives,
 any region of a first model's scores occurs among the unlabelled. A linear model over standardised surface
-features and their squares minimises  prior * R+(P) + max(0, R-(U) - prior * R-(P)).
+features, their squares and hashed character trigrams minimises  prior * R+(P) + max(0, R-(U) - prior * R-(P)).
 
 Both samples are bounded by SAMPLE rows. Defined results: a null text is an empty one, and has a score too; each
 row gives one row, repeated or not; without positives or documents all scores are 1. Texts are never cut.
@@ -38,15 +38,32 @@ for _c in range(0x3000):
         _KIND[_c] = 4
     elif chr(_c) in ".,;:'\"-()?":
         _KIND[_c] = 5
-FEATURES = 13
-
-
-def features(text: str | None) -> list[float]:
-    """Surface shares of a text; all zero for an empty one."""
+#: Surface features, and buckets that trigrams are hashed into.
+SURFACE, GRAM_BITS = 11, 9
+FEATURES = SURFACE + (1 << GRAM_BITS)
+#: Weight of the shares beside the standardised surface features, chosen on a fold of the rows that may be learned from.
+GRAM_SCALE = 12.0
+#: Characters hashed at a time, so that a long text takes no more memory for it.
+PIECE = 1 << 20
+
+
+def gram_shares(words: list[str]) -> np.ndarray:
+    """Square roots of the buckets' shares of all character trigrams of the words, each word between blanks."""
+    text = f" {' '.join(words)} "
+    counts = np.zeros(1 << GRAM_BITS, np.int64)
+    for start in range(0, len(text) - 2, PIECE):
+        codes = np.frombuffer(text[start : start + PIECE + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        mixed = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
+        counts += np.bincount(((mixed ^ (mixed >> 15)) * np.uint32(0x2C1B3C6D)) >> (32 - GRAM_BITS), minlength=1 << GRAM_BITS)
+    return np.sqrt(counts / counts.sum())
+
+
+def features(text: str | None) -> np.ndarray:
+    """Surface shares of a text, then its trigrams; all zero for an empty one."""
     text = text or ""
     words = text.split()
     if not words:
-        return [0.0] * FEATURES
+        return np.zeros(FEATURES, np.float32)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = np.bincount(_KIND[np.minimum(codes, 0x2FFF)], minlength=7)
     n, letters = len(text), max(1, kinds[1] + kinds[2])
@@ -54,20 +71,22 @@ def features(text: str | None) -> list[float]:
     low = text.lower().split()
     twice = sum(a == b for a, b in zip(low, low[1:]))
     kinds_of_words = len(set(low))
-    half = len(low) // 2
-    return [
+    surface = [
         kinds[6] / n, kinds[2] / letters, kinds[3] / n, kinds[5] / n, text.count("!") / len(words),
         twice / len(words), kinds_of_words / len(words), kinds_of_words / len(words) ** 0.75,
         np.log1p(len(words)), n / len(words) / 10, 1 - len(set(lines)) / max(1, len(lines)),
-        len(set(low[:half]) & set(low[half:])) / max(1, len(set(low[half:]))) if half else 0.0,
-        sum(w[-1] in "$%&*#@~^|" for w in words) / len(words),
     ]
+    return np.concatenate([surface, gram_shares(low)]).astype(np.float32)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.stack([features(t.as_py()) for t in column]) if len(column) else np.zeros((0, FEATURES), np.float32)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [features(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(x, pa.list_(pa.float64()))], ["positive", "x"])
+        x = [features(t.as_py()).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(x, pa.binary())], ["positive", "x"])
 
 
 @dataclass
@@ -78,30 +97,35 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_expand((x - self.mean) / self.scale) @ self.weights, -30, 30)))
+        return _sigmoid(_expand(x, self.mean, self.scale) @ self.weights)
 
 
-def _expand(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -4, 4)  # else very short texts decide by their squares
-    return np.column_stack([np.ones(len(x)), x, x * x / 4])
+def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    x = np.clip((x - mean) / scale, -4, 4)  # else very short texts decide by their squares
+    return np.concatenate([np.ones((len(x), 1)), x, np.square(x[:, :SURFACE]) / 4], axis=1, dtype=np.float32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def slope(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The second term of the risk with logistic loss, R-(U) - prior * R-(P), and the direction to go down: the whole
+    risk's gradient, or, while that term is negative, the one that drives it up."""
+    fp, fu = _sigmoid(p @ w), _sigmoid(u @ w)
+    loss_minus = lambda f: -np.log(np.maximum(1 - f, 1e-12)).mean()
+    rest = float(loss_minus(fu) - prior * loss_minus(fp))
+    g_rest = u.T @ fu / len(u) - prior * (p.T @ fp) / len(p)
+    return rest, prior * (p.T @ (fp - 1)) / len(p) + g_rest if rest >= 0 else -g_rest
+
+
 def _minimise(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
-    """Adam on the non-negative risk with logistic loss. While R-(U) - prior * R-(P) is negative, it is driven up."""
-    w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
+    """Adam on the non-negative risk with a ridge."""
+    w, m, v = np.zeros(p.shape[1], np.float32), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        fp, fu = _sigmoid(p @ w), _sigmoid(u @ w)
-        loss_minus = lambda f: -np.log(np.maximum(1 - f, 1e-12)).mean()
-        rest = loss_minus(fu) - prior * loss_minus(fp)
-        g_rest = u.T @ fu / len(u) - prior * (p.T @ fp) / len(p)
-        g = prior * (p.T @ (fp - 1)) / len(p) + g_rest if rest >= 0 else -g_rest
-        g = g + RIDGE * w
+        g = slope(p, u, prior, w)[1] + RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w = (w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return w
 
 
@@ -118,8 +142,9 @@ def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     """The prior comes from a model that tells P from U, on halves it was not fitted on."""
     both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    p, u = (_expand((x - mean) / scale) for x in (positive, unlabelled))
+    mean, scale = both.mean(axis=0, dtype=np.float64), both.std(axis=0, dtype=np.float64) + 1e-6
+    scale[SURFACE:] = 1 / GRAM_SCALE
+    p, u = (_expand(x, mean, scale) for x in (positive, unlabelled))
     if len(p) >= 4 and len(u) >= 4:
         first = _minimise(p[::2], u[::2], 0.5)
         prior = estimated_prior(p[1::2] @ first, u[1::2] @ first)
@@ -135,8 +160,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     trusted = sampled(docs, positives, sample).select(F.lit(True).alias("positive"), "text")
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     web = sampled(docs, ids, sample).select(F.lit(False).alias("positive"), "text")
-    x = written(map_rows(trusted.union(web), _vectors, "positive boolean, x array<double>"), folder, "sample").toArrow()
-    rows = np.array(x.column("x").to_pylist(), float).reshape(-1, FEATURES)
+    x = written(map_rows(trusted.union(web), _vectors, "positive boolean, x binary"), folder, "sample").toArrow()
+    rows = np.frombuffer(b"".join(x.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
     positive = np.array(x.column("positive").to_pylist(), bool)
     if not positive.any() or positive.all():
         return None
@@ -148,8 +173,7 @@ def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column("text")], float).reshape(-1, FEATURES)
-            score = np.ones(len(x)) if model is None else model.score(x)
+            score = np.ones(len(batch)) if model is None else model.score(_matrix(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), rows, "doc_id long, score double")

@@ -163,14 +163,20 @@ def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(language(F.concat("rel_path", ending)).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH f AS (SELECT DISTINCT {_PAGE_PATH} AS p FROM pages), paths AS (SELECT p FROM f),
-packages AS (SELECT DISTINCT regexp_replace(p, '/[^/]*$', '') AS d FROM paths WHERE contains(p, '/'))
-SELECT (SELECT string_agg(p, '|' ORDER BY p) FROM (SELECT p FROM paths ORDER BY p LIMIT 20)) AS files, (SELECT count(*) FROM packages) AS n_packages,
-       (SELECT count(*) FROM paths)::VARCHAR || ' nodes, 0 edges' AS summary""")
+@query(f"""{WITH}, f AS (SELECT DISTINCT {_PAGE_PATH} AS p FROM pages), page_files AS (SELECT p || {list(_ENDINGS)}[length(p) % {len(_ENDINGS)} + 1] AS p FROM f), paths AS (SELECT p FROM page_files UNION SELECT file_path FROM nodes WHERE label = 'File'),
+packages AS (SELECT DISTINCT regexp_replace(p, '/[^/]*$', '') AS d FROM paths WHERE contains(p, '/')),
+languages AS (SELECT DISTINCT CASE WHEN ends_with(p, '.py') THEN 'Python' WHEN ends_with(p, 'js') THEN 'JavaScript' WHEN ends_with(p, '.tsx') OR ends_with(p, '.ts') THEN 'TypeScript' END AS l FROM paths)
+SELECT (SELECT string_agg(l, ',' ORDER BY l) FROM languages) AS languages, (SELECT string_agg(p, '|' ORDER BY p) FROM (SELECT p FROM paths ORDER BY p LIMIT 20)) AS files, (SELECT count(*) FROM packages) AS n_packages,
+       ((SELECT count(*) FROM page_files) + (SELECT count(*) FROM nodes))::VARCHAR || ' nodes, ' || (SELECT count(*) FROM edges) || ' edges' AS summary, 0::BIGINT AS n_entry_points""")
 def architecture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _page_files(spark, sf_dir).select(F.lit("File").alias("label"), F.col("rel_path").alias("file_path")).distinct()
-    found = Q.architecture(nodes, G.edges(spark, sf_dir).limit(0))
-    return found.select(F.array_join("files", "|").alias("files"), F.size("packages").cast("long").alias("n_packages"), "summary")
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.length("rel_path") % len(_ENDINGS) + 1).cast("int"))
+    files = _page_files(spark, sf_dir).select("rel_path").distinct().select(F.lit("File").alias("label"), F.concat("rel_path", ending).alias("file_path"))
+    nodes = files.unionByName(G.nodes(spark, sf_dir).select("label", "file_path"))
+    found = Q.architecture(nodes, G.edges(spark, sf_dir))
+    return found.select(
+        F.array_join("languages", ",").alias("languages"), F.array_join("files", "|").alias("files"), F.size("packages").cast("long").alias("n_packages"),
+        "summary", F.size("entry_points").cast("long").alias("n_entry_points"),
+    )
 
 
 @query("""WITH t AS (SELECT role AS qualified_name, text AS name, turn AS line, conv_id * 10000 + turn AS ord FROM conversations)

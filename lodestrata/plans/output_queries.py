@@ -10,14 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from string import Formatter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import html, markdown
 from lodestrata.functions.output import engine
 from lodestrata.plans.star_graph import table
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, CASES = {}, {}, []
 ERROR = "event_type = 'error'"
 RULE, DASHES = "=" * 70, "-" * 70
 _NAMES = {"I": "event_id", "T": "event_type"}
@@ -39,6 +39,10 @@ def _many(n: str, word: str, ending: str = "s") -> str:
     return f"{{{n}}}{{CASE WHEN {n} = 1 THEN ' {word}' ELSE ' {word}{ending}' END}}"
 
 
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr(ERROR), 1)).alias("e")]
+
+
 @dataclass
 class Case:
     """hint and tool; line for each event where where holds, between head and tail; the row that each row_where gives,
@@ -56,12 +60,17 @@ class Case:
     first: str = ""
     verbose: bool = False
 
+    def lines(self) -> Column:
+        """Aggregates the lines of a user's events, in order."""
+        rows = F.array_sort(F.collect_list(F.struct("event_id", F.expr(f"CASE WHEN {self.where} THEN {_sql(self.line)} END").alias("line"))))
+        return F.array_join(F.transform(rows, lambda x: x["line"]), "\n")
+
+    def text(self, lines: Column) -> Column:
+        return F.concat(F.expr(_sql(self.head)), lines, F.expr(_sql(self.tail)))
+
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.expr(f"CASE WHEN {self.where} THEN {_sql(self.line)} END").alias("line")))), lambda x: x["line"])
-        counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr(ERROR), 1)).alias("e")]
-        texts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(rows, "\n").alias("lines"), *counts)
-        text = F.concat(F.expr(_sql(self.head)), F.col("lines"), F.expr(_sql(self.tail)))
-        found = texts.select("user_id", engine.parse_output_column(text, self.hint, self.verbose).alias("p"))
+        texts = table(spark, sf_dir, "events").groupBy("user_id").agg(self.lines().alias("lines"), *_counts())
+        found = texts.select("user_id", engine.parse_output_column(self.text(F.col("lines")), self.hint, self.verbose).alias("p"))
         cells = F.array_join(F.transform("p.rows", lambda r: F.array_join(r, "|")), "\n")
         return found.select("user_id", "p.tool", "p.summary", cells.alias("cells"))
 
@@ -116,6 +125,30 @@ for _case in (
 ):
     _name = f"cells_{_case.hint.replace('-', '_')}"
     QUERIES[_name], SQL[_name] = _case.spark, _case.oracle()
+    CASES.append(_case)
+
+
+#: Tools whose outputs, as rendered above, say too little for their own parser to win without a hint: what wins instead.
+#: Diagnostics that lack their closing line look like hits of a search, for instance.
+ALIKE = {
+    "cargo-build": "search-results", "docker": None, "docker-logs": "kubectl", "file-listing": "search-results", "git-log": None, "mypy": "search-results",
+    "package-list": "env-redact", "pip": None, "ruff": "search-results", "vite": "tsc",
+}
+PROSE = Case("", "prose", "it was a {T} that came along", "", "")
+
+
+def detect_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool found, without a hint, for an output of each tool, and for prose, by all events of a user (over 30 of
+    them: scores of log lines grow with their number)."""
+    said = [*CASES, PROSE]
+    events = table(spark, sf_dir, "events").groupBy("user_id").agg(*[c.lines().alias(f"lines_{k}") for k, c in enumerate(said)], *_counts())
+    texts = F.array(*[F.struct(F.lit(c.tool).alias("rendered"), c.text(F.col(f"lines_{k}")).alias("text")) for k, c in enumerate(said)])
+    return events.select("user_id", F.inline(texts)).select("user_id", "rendered", engine.detect_column(F.col("text")).alias("tool"))
+
+
+_FOUND = {c.tool: ALIKE.get(c.tool, c.tool) for c in CASES} | {PROSE.tool: None}
+QUERIES["detect_tools"] = detect_tools
+SQL["detect_tools"] = "SELECT user_id, rendered, tool FROM (SELECT DISTINCT user_id FROM events), (VALUES " + ", ".join(f"('{tool}', {repr(found) if found else 'NULL'})" for tool, found in _FOUND.items()) + ") AS found(rendered, tool)"
 
 
 def rendered(spark: SparkSession, sf_dir: str, line: str, head: str = "", tail: str = "") -> DataFrame:

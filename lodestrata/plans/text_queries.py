@@ -380,20 +380,3 @@ output_query("parse_output_grep", "grep", "SELECT user_id, 'search-results' AS t
 output_query("parse_output_blame", "git-blame", "WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT user_id, 'git-blame' AS tool, count(*) || ' lines, ' || count(DISTINCT event_type) || CASE WHEN count(DISTINCT event_type) = 1 THEN ' author, ' ELSE ' authors, ' END || sum((event_type IS DISTINCT FROM prev)::INT) || CASE WHEN sum((event_type IS DISTINCT FROM prev)::INT) = 1 THEN ' range' ELSE ' ranges' END AS summary, sum((event_type IS DISTINCT FROM prev)::INT)::BIGINT AS n_rows FROM e GROUP BY user_id", lambda: F.concat(F.lpad(F.lower(F.hex(F.crc32(F.col("event_type").cast("binary")))), 8, "0"), F.lit(" ("), F.col("event_type"), F.lit("  2025-03-01 10:00:00 +0000  "), _s(F.col("event_id")), F.lit(") x")))
 output_query("parse_output_docker_logs", "docker-logs", f"SELECT user_id, 'docker-logs' AS tool, n || ' log lines, ' || e || CASE WHEN e = 1 THEN ' error' ELSE ' errors' END AS summary, rows AS n_rows FROM ({_N}) JOIN (WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n, max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM events), k AS (SELECT *, pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS gap FROM x WHERE near = 1 OR pos <= 10 OR pos > n - 10 OR n <= 20) SELECT user_id, count(*) + count(*) FILTER (gap > 1) AS rows FROM k GROUP BY user_id) USING (user_id)", lambda: F.concat(F.lit("2025-01-01T00:00:00Z "), F.when(F.col("event_type") == "error", "ERROR failed").otherwise(F.concat(F.lit("INFO "), F.col("event_type")))))
 output_query("parse_output_status", "git-status", "SELECT user_id, 'git-status' AS tool, 'Files: ' || count(*) || ' (' || array_to_string(list_filter([CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'M:' || count(*) FILTER (event_type <> 'error') END, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN '?:' || count(*) FILTER (event_type = 'error') END], lambda x: x IS NOT NULL), ', ') || ')' AS summary, CASE WHEN count(*) > 8 THEN 1 ELSE count(*) END AS n_rows FROM events GROUP BY user_id", lambda: F.concat(F.when(F.col("event_type") == "error", "?? ").otherwise(" M "), F.lit("src/f"), _s(F.col("event_id")), F.lit(".py")))
-
-
-@query("""SELECT 'pytest' AS expected, 'pytest' AS tool UNION ALL SELECT 'ruff', 'ruff' UNION ALL SELECT 'git-log', 'git-log' UNION ALL SELECT 'jest', 'jest' UNION ALL SELECT 'cargo-test', 'cargo-test'
-UNION ALL SELECT 'docker-compose', 'docker-compose' UNION ALL SELECT 'npm', 'npm' UNION ALL SELECT 'python-traceback', 'python-traceback' UNION ALL SELECT 'prose', NULL""")
-def detect_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = [
-        ("pytest", "===== test session starts =====\nt.py::test_a PASSED\n===== 1 passed in 0.1s ====="),
-        ("ruff", "a.py:1:2: E501 Line too long\nFound 1 error."),
-        ("git-log", "commit " + "a1" * 20 + "\nAuthor: A <a@b>\nDate:   now\n\n    Message\n"),
-        ("jest", "Test Suites: 1 failed\nTests: 1 failed, 2 passed"),
-        ("cargo-test", "running 2 tests\ntest a ... ok\ntest result: ok. 2 passed; 0 failed"),
-        ("docker-compose", "web  | a\nweb  | b\ndb   | c"),
-        ("npm", "npm warn deprecated a@1: old"),
-        ("python-traceback", 'Traceback (most recent call last):\n  File "a.py", line 1, in f\nValueError: no'),
-        ("prose", "Nothing of note happened here.\nNor here."),
-    ]
-    return spark.createDataFrame(samples, "expected string, text string").select("expected", engine.detect_column(F.col("text")).alias("tool"))

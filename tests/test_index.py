@@ -1,4 +1,6 @@
+import ast
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,28 @@ def test_script_extraction():
     assert X.extract("", "Python", "p", "x").definitions == [] and X.extract(None, "Tsx", "p", "x").calls == []
 
 
+def handlers(n):
+    return "".join(f"@app.get('/p/{k}')\ndef f{k}():\n    f{k + 1}()\n" for k in range(n))
+
+
+def test_a_long_file_takes_time_in_proportion():
+    took = []
+    for n in (500, 8000):  # where each decorator cut the file into lines anew, the longer took some 250 times as long
+        source, start = handlers(n), time.process_time()
+        found = X.extract(source, "Python", "p", "a.py")
+        took.append(time.process_time() - start)
+        assert len(found.hints) == n and found.hints[-1][1:4] == (f"f{n - 1}", f"/p/{n - 1}", "GET")
+    assert took[1] < 80 * took[0]
+
+
+@pytest.mark.parametrize("source", ["x = 'é'; import os, sys\r\nfoo('é')(1)\r@a.get('/é')\x0c\ndef f(): pass\n", "import a\\\n, b\nx[\n'é'](1)", "a(\r\n  b\r\n)()()"])
+def test_texts_of_nodes_are_those_of_the_standard_library(source):
+    reader = X._Python(X.Found("p", "a.py"), source)
+    for node in ast.walk(ast.parse(source)):
+        if hasattr(node, "lineno"):
+            assert reader._text(node) == ast.get_source_segment(source, node)
+
+
 def test_graph_of_a_repository(bench):
     store = bench.store("shop")
     nodes = {r.qualified_name: r for r in store.nodes().collect()}

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.sources.workspace import ROWS_A_FILE, shared_dir, written
+from lodestrata.sources.workspace import ROWS_A_FILE, map_rows, shared_dir, written
 
 __all__ = ["ROWS_A_FILE", "hot_split_join", "hot_spread_join", "map_rows", "shared_dir", "written"]
 
-#: Arrow batches hold at most this many rows, and about this many bytes (a longer row makes a batch of its own), so
-#: that a batch of long texts fits a worker.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: A key counts as hot when it has over one in HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of bounded rows and bytes. The bounds are the session's, which knows no others: they are
-    lowered where they are higher, for all that the session plans later."""
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    return df.mapInArrow(rows, schema)
-
-
 def hot_split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """left joined to right, where right has one row a key and weight counts the key's rows in left.
 

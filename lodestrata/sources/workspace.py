@@ -1,11 +1,13 @@
-"""Tables cut from their lineage, in the folder that a cluster's executors share."""
+"""Tables cut from their lineage, in the folder that a cluster's executors share, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +54,19 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+#: Arrow batches hold at most this many rows, and about this many bytes (a longer row makes a batch of its own), so
+#: that a batch of long texts fits a worker.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded rows and bytes. The bounds are the session's, which knows no others: they are
+    lowered where they are higher, for all that the session plans later."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df.mapInArrow(rows, schema)

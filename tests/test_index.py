@@ -2,6 +2,7 @@ import ast
 import subprocess
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,18 @@ def test_a_long_file_takes_time_in_proportion():
     assert took[1] < 80 * took[0]
 
 
+def test_files_of_many_definitions_go_out_alone():
+    sources = [handlers(5000), "", None, "def x(:", handlers(9000), "import os", *[""] * (X.ROWS_OUT + 1)]
+    texts = [["p"] * len(sources), [f"{k}.py" for k in range(len(sources))], ["Python"] * len(sources), sources]
+    out = list(X._rows(iter([pa.RecordBatch.from_arrays([pa.array(t, pa.string()) for t in texts], ["project", "rel_path", "language", "content"])])))
+    assert [b.num_rows for b in out] == [4, 1, X.ROWS_OUT - 1, 3]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["rel_path"] for r in rows] == texts[1] and [k for k, r in enumerate(rows) if r["error"]] == [3]
+    assert [len(r["hints"]) for r in rows[:6]] == [5000, 0, 0, 0, 9000, 0]
+    assert rows[4]["definitions"][8999] == {"ord": 8999, "name": "f8999", "qualified_name": "p::4.py::f8999", "label": "Function", "line_start": 26999, "line_end": 27000}
+    assert rows[5]["imports"] == [{"ord": 0, "module_path": "import os", "alias": None, "names": [], "line": 1}]
+
+
 @pytest.mark.parametrize("source", ["x = 'é'; import os, sys\r\nfoo('é')(1)\r@a.get('/é')\x0c\ndef f(): pass\n", "import a\\\n, b\nx[\n'é'](1)", "a(\r\n  b\r\n)()()"])
 def test_texts_of_nodes_are_those_of_the_standard_library(source):
     reader = X._Python(X.Found("p", "a.py"), source)

@@ -1,4 +1,5 @@
 import ast
+import gc
 import subprocess
 import time
 
@@ -94,6 +95,26 @@ def test_a_long_file_takes_time_in_proportion():
     assert took[1] < 80 * took[0]
 
 
+def test_calls_of_expressions_take_time_in_proportion():
+    took = []
+    for n in (500, 8000):
+        source, start = "".join(f"(a or b.c{k})(d)\n" for k in range(n)), time.process_time()
+        found = X.extract(source, "Python", "p", "a.py")
+        took.append(time.process_time() - start)
+        assert len(found.calls) == n and found.calls[-1][:2] == (f"c{n - 1}", n)
+    assert took[1] < 80 * took[0]
+
+
+def test_the_collector_rests_while_a_file_is_read(monkeypatch):
+    on = []
+    monkeypatch.setattr(X.Found, "call", lambda *_: on.append(gc.isenabled()))
+    X.extract("f()", "Python", "p", "a.py")
+    X.extract("f()", "JavaScript", "p", "a.js")
+    with pytest.raises(SyntaxError):
+        X.extract("def x(:", "Python", "p", "b.py")
+    assert on == [False, False] and gc.isenabled()
+
+
 def test_files_of_many_definitions_go_out_alone():
     sources = [handlers(5000), "", None, "def x(:", handlers(9000), "import os", *[""] * (X.ROWS_OUT + 1)]
     texts = [["p"] * len(sources), [f"{k}.py" for k in range(len(sources))], ["Python"] * len(sources), sources]

@@ -24,8 +24,8 @@ def _edge_rows(df: DataFrame, kind: str, source: str, target: str, confidence: s
 def build_graph(files: DataFrame, commits: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """files (project, rel_path, language, content) of one project and commits (commit_ord, path) to (nodes, edges, errors).
 
-    Files are parsed once, on the executors; all that follows are joins and aggregations. ord follows the files'
-    paths, then places within a file, so ties are settled as if files were read in order.
+    Files are read and parsed once, on the executors; all that follows are joins and aggregations of what was found.
+    ord follows the files' paths, then places within a file, so ties are settled as if files were read in order.
     """
     spark = files.sparkSession
     folder = shared_dir(spark)
@@ -33,7 +33,8 @@ def build_graph(files: DataFrame, commits: DataFrame | None = None) -> tuple[Dat
     place = lambda kind: X.exploded(found, kind).withColumn("at", F.struct("project", "rel_path", "ord"))
     defs, calls, imports, hints = (written(place(kind), folder, kind) for kind in ("definitions", "calls", "imports", "hints"))
 
-    shape_nodes, shape_edges = B.structure(files.select("project", "rel_path"))
+    files = found.select("project", "rel_path")
+    shape_nodes, shape_edges = B.structure(files)
     def_ord = F.struct("rel_path", "ord")
     routes = B.apply_route_hints(
         defs.select("qualified_name", "name", "label", def_ord.alias("ord")),
@@ -60,7 +61,7 @@ def build_graph(files: DataFrame, commits: DataFrame | None = None) -> tuple[Dat
     edges.append(_edge_rows(resolved, "CALLS", "source_qn", "target_qn", "confidence", "ord"))
 
     functions = nodes.filter(F.col("label").isin("Function", "Method")).select("id", "qualified_name", "name", "file_path", F.col("properties")["route_path"].alias("route_path"), F.col("properties")["route_method"].alias("route_method"))
-    handled = E.routes(functions)
+    handled = written(E.routes(functions), folder, "routes")
     route_nodes, handles = E.route_graph(handled)
     handles = handles.join(functions.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("source_qn")), "source_id")
     edges.append(_edge_rows(handles, "HANDLES", "source_qn", "target_qn", properties="map('method', method)"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.api import Workbench
+from lodestrata.plans.index import build_graph
 from lodestrata.sources import extract as X
 from lodestrata.sources import files as S
 from lodestrata.streaming import watch as W
@@ -151,6 +152,23 @@ def test_graph_of_a_repository(bench):
     assert ("shop::tests/test_users.py::test_add", "shop::src/users.py::list_users", "CALLS") in edges
 
 
+def test_files_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("p", f"src/{k}.py", "Python", handlers(3)) for k in range(5)] + [("p", "tests/test_1.py", "Python", "f0()")]
+    files = spark.createDataFrame(rows, "project string, rel_path string, language string, content string")
+    nodes, edges, errors = build_graph(files.mapInArrow(counted, files.schema))
+    assert {r.label: r["count"] for r in nodes.groupBy("label").count().collect()} == {"Project": 1, "Folder": 2, "File": 6, "Function": 15, "Route": 3}
+    got = {r.edge_type: r["count"] for r in edges.groupBy("edge_type").count().collect()}
+    assert got == {"CONTAINS_FOLDER": 2, "CONTAINS_FILE": 21, "CALLS": 11, "HANDLES": 15, "TESTS_FILE": 1, "SIMILAR_TO": 30}
+    assert errors.count() == 0 and read.value == len(rows)
+
+
 def test_questions(bench, repo):
     assert {r.name for r in bench.find_dead_code("shop").collect()} >= {"unused", "save"}
     assert "load" not in {r.name for r in bench.find_dead_code("shop").collect()}

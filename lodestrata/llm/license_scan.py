@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.shared import map_rows
 
-#: A text without one of these, in lower case, has no licence sentence.
-HINTS = ("licen", "copyright", "spdx", "warrant", "redistribut", "permission", "rights", "domain", "cc0", "endorse", "software", "compliance")
 #: A sentence with one of these that is not known counts as unknown.
 TELLING = re.compile(r"\blicen[cs](e[ds]?|ing)\b|\bcopyright|\bspdx-|\bwarrant(y|ies)\b|\bredistribut(e|ion)", re.I)
 _ENDS = re.compile(r"(?<=[.;:!?])(?<!\bv\.)\s+")
-#: Comment marks around a line.
-_MARKS = re.compile(r"^\s*(?:(?:/\*+!?|\*+/?|//+!?|#+|;+|%+|--+|<!--+|\.\.|(?:dnl|rem)\b)(?=\s|$)\s*)+|\s*(?:\*+/|--+>|\s[*#]+)\s*$|^\s+|\s+$", re.I)
+#: Comment marks before a line.
+_MARKS = re.compile(r"\s*(?:(?:/\*+!?|\*+/?|//+!?|#+|;+|%+|--+|<!--+|\.\.|(?:dnl|rem)\b)(?=\s|$)\s*)+", re.I)
 _OTHER = re.compile(r"[^a-z0-9.+-]+")
+_FIRST = re.compile(r"[a-z0-9+][a-z0-9.+-]*")
 
 #: How a licence is named: the stem of its identifiers, the licence, its names. [a|b] may be left out, (a|b) may not.
 NAMES = [
@@ -227,6 +226,8 @@ def _tree() -> dict:
 
 
 _KNOWN = _tree()
+#: Words with which a known sentence or a copyright starts.
+_STARTS = frozenset(_KNOWN) | {"copyright", "c", "all"}
 #: Ordered rules: the licence that a sequence of identifiers tells; longer ones stand before those they hold.
 RULES = [
     ("Apache-2.0", ("apache2-by", "apache2-compliance", "apache2-copy", "apache2-as-is")),
@@ -276,6 +277,28 @@ def _words(line: str) -> list[str]:
     return [w for x in _OTHER.sub(" ", line.lower()).split() if (w := x.strip(".-"))]
 
 
+def _bare(line: str) -> str:
+    """The line without comment marks and white space around it, in time of its length."""
+    marks = _MARKS.match(line)
+    bare = (line[marks.end() :] if marks else line).rstrip()
+    if bare.endswith("/"):
+        end = len(bare[:-1].rstrip("*"))
+        bare = bare[:end] if end < len(bare) - 1 else bare
+    elif bare.endswith(">"):
+        end = len(bare[:-1].rstrip("-"))
+        bare = bare[:end] if end < len(bare) - 2 else bare
+    elif bare.endswith(("*", "#")):
+        end = len(bare.rstrip("*#"))
+        bare = bare[:end] if bare[end - 1 : end].isspace() else bare
+    return bare.strip()
+
+
+def _may_tell(line: str) -> bool:
+    """Whether the line's first word can start a known sentence."""
+    first = _FIRST.search(line.lower())
+    return first is not None and first[0].rstrip(".-") in _STARTS
+
+
 def _spdx(said: str) -> tuple[list[str], int] | None:
     """The identifiers of the licence expression that said starts with and its end; None if it is none.
 
@@ -311,8 +334,8 @@ def _sentences(text: str) -> Iterator[list[str]]:
     """The lines of each sentence, without comment marks; SPDX lines stand alone."""
     paragraph: list[str] = []
     for line in [*text.split("\n"), ""]:
-        bare = _MARKS.sub("", line)
-        tag = _SPDX.search(bare)
+        bare = _bare(line)
+        tag = _SPDX.search(bare) if ":" in bare else None
         if before := bare[: tag.start()].strip() if tag else bare:
             paragraph.append(before)
         if paragraph and (tag or not bare):
@@ -355,12 +378,10 @@ def _known(words: list[str], line_ends: set[int], at: int, line_end: int) -> tup
 
 
 def sentence_ids(text: str | None) -> list[tuple[str, str]]:
-    """(identifier, normalised sentence) of each licence sentence, in the text's order."""
-    text = text or ""
-    low = text.lower()
-    if not any(hint in low for hint in HINTS):
-        return []
-    out = []
+    """(identifier, normalised sentence) of each licence sentence, in the text's order. Every sentence is looked at;
+    words are only made of those with a line that starts like a known one, or with a licence word."""
+    text, out = text or "", []
+    telling = TELLING.search(text) is not None
     for lines in _sentences(text):
         if tag := _SPDX.search(lines[0]):
             first, *after = _ENDS.split(tag[1].strip(), maxsplit=1)
@@ -368,6 +389,8 @@ def sentence_ids(text: str | None) -> list[tuple[str, str]]:
             out += [(f"spdx:{x}", normalised(tag[0][: tag.start(1) + end])) for x in names] or [("unknown", normalised(f"spdx-license-identifier {first}"))]
             out += sentence_ids(tag[1][end:] if names else "".join(after))
             continue
+        if not any(_may_tell(line) or (telling and TELLING.search(line)) for line in lines):
+            continue
         each = [_words(line) for line in lines]
         words = [w for line in each for w in line]
         ends = list(accumulate(map(len, each)))

@@ -92,6 +92,35 @@ def test_licences(text, licences):
     assert L.licences_of([i for i, _ in L.sentence_ids(text)]) == licences
 
 
+@pytest.mark.parametrize(
+    ("text", "licences"),
+    [
+        ("This project is released under the GNU GPL v3.", ["GPL-3.0"]), ("# This code is available under MPL 2.0", ["MPL-2.0"]), ("Covered by the EUPL v1.2.", ["EUPL-1.2"]), ("CC BY 4.0", ["CC-BY-4.0"]), ("Published under the MIT", ["MIT"]),
+        ("As long as you retain this notice you\n * can do whatever you want with this stuff.", ["Beerware"]),
+        ("Everyone is permitted to copy and distribute verbatim copies.\n0. You just do WHAT THE FUCK YOU WANT TO.", []), ("SPDX-Licenſe-Identifier: MIT", ["MIT"]),
+    ],
+)
+def test_licences_without_words_of_law(text, licences):
+    assert L.licences_of([i for i, _ in L.sentence_ids(text)]) == licences
+
+
+def test_every_known_sentence_is_found_alone():
+    for _, notation in [*L.SENTENCES, *((stem, f"covered by {notation}") for stem, _, notation in L.NAMES)]:
+        for words in L._spelled(notation.removesuffix(" $")):
+            text = " ".join("any" if w == "*" else w for w in words)
+            assert len(L.sentence_ids(f"Prose before.\n\n// {text}.\n\nand after.")) >= 1, text
+
+
+def test_comment_marks_are_those_of_one_pattern():
+    whole = re.compile(r"^\s*(?:(?:/\*+!?|\*+/?|//+!?|#+|;+|%+|--+|<!--+|\.\.|(?:dnl|rem)\b)(?=\s|$)\s*)+|\s*(?:\*+/|--+>|\s[*#]+)\s*$|^\s+|\s+$", re.I)
+    rnd = random.Random(3)
+    for _ in range(20000):
+        line = "".join(rnd.choices([" ", "\t", "*", "**", "/", "//", "#", "-", "--", "-->", "<!--", ";", "..", "dnl", "rem", "x", "!", "/*", "*/", ">", "\x0c", "\u2003", "é"], k=rnd.randint(0, 8)))
+        assert L._bare(line) == whole.sub("", line), line
+        assert L._may_tell(line) == ((L._words(line) or [""])[0] in L._STARTS), line
+    assert L.sentence_ids("a" + " " * 300_000 + "b") == []
+
+
 def test_rules_match_sequences_like_brute_force():
     rnd = random.Random(8)
     names = [n for n, _ in L.SENTENCES if n != "spdx"]
